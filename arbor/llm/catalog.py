@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import leaks, neighbours, tokenize, visual
+from . import chunking, handwritten, leaks, neighbours, parsing, tokenize, visual
 
 QUERIES = {
+    "p2_found": lambda s, d: handwritten.scored(table(s, d, "files")).where("flagged").select("path"),
+    "p2_validation": lambda s, d: handwritten.validation(table(s, d, "files")),
+    "p3_found": lambda s, d: parsing.invalid_files(table(s, d, "files")),
+    "p3_report": lambda s, d: parsing.parse_report(table(s, d, "files")),
+    "p3_rates": lambda s, d: parsing.rates(table(s, d, "files")),
+    "p4_found": lambda s, d: chunking.oversized_ids(table(s, d, "file_vectors"), table(s, d, "entities"), table(s, d, "files")),
+    "p4_pieces": lambda s, d: chunking.oversized_pieces(table(s, d, "file_vectors"), table(s, d, "entities"), table(s, d, "files")),
     "p5_found": lambda s, d: neighbours.similar_pairs(table(s, d, "entity_vectors")),
     "p5_nearest": lambda s, d: neighbours.nearest(table(s, d, "entity_vectors")),
     "p7_ids": lambda s, d: tokenize.token_ids(table(s, d, "documents")),

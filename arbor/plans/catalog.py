@@ -1,3 +1,46 @@
 """Registered queries of the core and their SQL."""
-QUERIES = {}
-ORACLES = {}
+
+from __future__ import annotations
+
+from ..operators import skew, snapshots
+from ..sources.tables import table
+
+CALL_KEYS = ("callee", "file_path")
+QUARTILES = (0.25, 0.5, 0.9)
+
+QUERIES = {
+    "p1_found": lambda s, d: skew.heavy_keys(table(s, d, "calls"), CALL_KEYS, "seq", "line_number"),
+    "p1_key_quantiles": lambda s, d: skew.key_profile(table(s, d, "calls"), CALL_KEYS, "seq", "line_number", QUARTILES),
+    "p6_found": lambda s, d: snapshots.snapshot_changes(table(s, d, "nodes")),
+    "p6_changed_values": lambda s, d: snapshots.changed_values(table(s, d, "nodes")),
+}
+
+ORACLES: dict[str, str] = {}
+
+_PROFILE = """
+with c as (select distinct {f} as k, seq from calls where seq is not null),
+n as (select k, count(*) as n from c where k is not null group by k),
+t as (select count(distinct seq) as total from calls),
+v as (select k, seq, min(line_number) as v from (select {f} as k, seq, line_number from calls where seq is not null and line_number is not null) group by k, seq),
+q as (select k, unnest([0.25, 0.5, 0.9]::double[]) as q, unnest(quantile_disc(v, [0.25, 0.5, 0.9]))::bigint as v from v group by k)
+select '{f}' as field, n.k as key_value, n.n as n_events, t.total as total_events, q.q as q, q.v as v
+from n cross join t left join q on q.k = n.k"""
+ORACLES["p1_found"] = " union all ".join(f"""
+select '{f}' as field, {f} as key_value from calls where {f} is not null group by {f}
+having count(distinct seq) >= 0.02 * (select count(distinct seq) from calls)""" for f in CALL_KEYS)
+ORACLES["p1_key_quantiles"] = " union all ".join(f"select * from ({_PROFILE.format(f=f)})" for f in CALL_KEYS)
+_SNAPSHOTS = r"""
+with r as (select snapshot_id, nfc_normalize(regexp_replace(replace(path, chr(92), '/'), '^(\./+)+', '')) as path, lower(hash) as hash, is_file, loaded_at
+           from nodes where snapshot_id is not null and path is not null),
+b as (select snapshot_id, path, hash, is_file from r
+      qualify row_number() over (partition by snapshot_id, path order by loaded_at desc nulls last, hash desc nulls last, is_file desc nulls last) = 1),
+i as (select snapshot_id, lag(snapshot_id) over (order by snapshot_id) as before from (select distinct snapshot_id from b)),
+n as (select i.snapshot_id, b.path, b.hash, b.is_file from i join b on b.snapshot_id = i.snapshot_id where i.before is not null),
+o as (select i.snapshot_id, b.path, b.hash, b.is_file from i join b on b.snapshot_id = i.before),
+x as (select coalesce(n.snapshot_id, o.snapshot_id) as snapshot_id, coalesce(n.path, o.path) as path,
+      case when o.path is null then 'added' when n.path is null then 'deleted'
+           when n.hash is distinct from o.hash or n.is_file is distinct from o.is_file then 'modified' end as status, o.hash as old_hash, n.hash as new_hash
+      from n full join o on n.snapshot_id = o.snapshot_id and n.path = o.path)
+"""
+ORACLES["p6_found"] = _SNAPSHOTS + "select snapshot_id, path, status from x where status is not null"
+ORACLES["p6_changed_values"] = _SNAPSHOTS + "select snapshot_id, path, status, old_hash, new_hash from x where status is not null"

@@ -21,4 +21,16 @@ QUERIES = {
     "p9_classes": lambda s, d: visual.visual_classes(table(s, d, "documents")),
     "p9_normalized": lambda s, d: visual.normalized(table(s, d, "documents")),
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p4_found": """
+with docs as (select distinct 'file' as item_kind, id as item_id from file_vectors where length(document) > 3000 and id is not null),
+f as (select path, max(string_split(decode(content), chr(10))) as lines from files where content is not null group by path),
+spans as (select distinct id, file_path, greatest(start_line, 1) as s, end_line as e from entities where id is not null and start_line <= end_line)
+select * from docs union all
+select distinct 'entity', id from spans join f on path = file_path where length(array_to_string(lines[s:e], chr(10))) > 3000""",
+    "p5_found": """
+with v as (select id, max(embedding) as e from entity_vectors where len(embedding) = 384 and id is not null and list_sum(list_transform(embedding, x -> abs(x))) > 0 group by id),
+p as (select a.id as a, b.id as b, list_cosine_similarity(a.e, b.e) as c from v a join v b on a.id <> b.id),
+k as (select a, b, c from p qualify row_number() over (partition by a order by c desc, b) <= 5)
+select distinct least(a, b) as id_a, greatest(a, b) as id_b from k where c >= 0.90""".replace("x -> abs(x)", "lambda x: abs(x)"),
+}

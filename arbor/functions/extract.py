@@ -87,7 +87,12 @@ _HEADS = {
         ("interface", re.compile(r"\b(?P<n>[A-Za-z_]\w*)\s+interface\s*(?=\{)")),
     ],
 }
-_NOT_NAMES = frozenset("if for while switch catch return else do try synchronized function new throw sizeof case typeof await yield delete void in of with super this func go defer select range".split())
+_NOT_NAMES = {
+    "c": frozenset("if for while switch return else do sizeof case goto".split()),
+    "java": frozenset("if for while switch catch return else do try synchronized new throw case super this assert instanceof".split()),
+    "javascript": frozenset("if for while switch catch return else do try function new throw case typeof await yield delete void in of with super this".split()),
+    "go": frozenset("if for switch return else func go defer select range case".split()),
+}
 _CALL = re.compile(r"(?<![\w$.])(new\s+)?([A-Za-z_$][\w$]*(?:\s*(?:\.|->)\s*[A-Za-z_$][\w$]*)*)\s*\(")
 _BRACE = re.compile(r"[{}]")
 
@@ -111,9 +116,9 @@ def _braces(lang: str, text: str) -> tuple[list[Definition], list[Call]]:
     for kind, pattern in _HEADS[lang]:
         for m in pattern.finditer(flat):
             name = m.group("n")
-            if name in _NOT_NAMES or m.end() not in match:
+            if name in _NOT_NAMES[lang] or m.end() not in match:
                 continue
-            if kind == "member" and lang == "java" and any(w in _NOT_NAMES for w in m.group("t").split()):
+            if kind == "member" and lang == "java" and any(w in _NOT_NAMES[lang] for w in m.group("t").split()):
                 continue
             start = re.compile(r"\s*").match(flat, m.start()).end()
             heads.append((start, m.end(), match[m.end()], kind, name, m))
@@ -146,7 +151,7 @@ def _braces(lang: str, text: str) -> tuple[list[Definition], list[Call]]:
     calls, head_spans = [], {(h[5].start("n"), h[4]) for h in heads}
     for m in _CALL.finditer(flat):
         callee = re.sub(r"\s+", "", m.group(2)).replace("->", ".")
-        if m.group(1) or callee in _NOT_NAMES or (m.start(2), callee) in head_spans:
+        if m.group(1) or callee in _NOT_NAMES[lang] or (m.start(2), callee) in head_spans:
             continue
         around = [f for f in functions if f[0] < m.start() < f[1]]
         if around:

@@ -3,9 +3,9 @@
 * Vectors are normalised and held in 12 bits a value (cosines stay right to
   about 1e-4); equal ones collapse into one class, so copies cost nothing.
 * A bounded random sample of the classes serves as pivots: ``PIVOT_RATE *
-  sqrt(n)`` of them, at least MIN_PIVOTS (or a third of the classes) and at most
-  MAX_PIVOTS. Sampling by mass gives dense regions more pivots, which keeps the
-  inverted files even.
+  sqrt(n)`` of them, at least MIN_PIVOTS and at most MAX_PIVOTS; FEW_PIVOTS for
+  small collections. Sampling by mass gives dense regions more pivots, which keeps
+  the inverted files even.
 * Every class is represented by the order of its PREFIX nearest pivots and posted
   in the inverted files of the first POSTINGS of them. All classes are posted.
 * A class is looked up in its own inverted files; candidates are ranked by the
@@ -29,6 +29,8 @@ from ..storage import materialize
 
 DIM, K = 384, 5
 PIVOT_RATE, MIN_PIVOTS, MAX_PIVOTS = 0.6, 384, 4096
+#: Up to SMALL classes, FEW_PIVOTS make long lists that cost little and miss nearly nothing.
+SMALL, FEW_PIVOTS = 4096, 8
 PREFIX, POSTINGS = 8, 3
 RERANK, RERANK_SHARE = 2048, 0.6
 LIST_ROWS = 16_384
@@ -108,7 +110,7 @@ def class_neighbours(classes: DataFrame, dim: int = DIM, k: int = K, pivot_rate:
     """``(cid, other, sim)``: up to k nearest classes of each class; ``classes`` is a stored table of (cid, vec)."""
     spark = classes.sparkSession
     n = classes.count()
-    m = max(1, min(MAX_PIVOTS, n // 3, max(MIN_PIVOTS, round(pivot_rate * math.sqrt(n)))))
+    m = max(1, min(FEW_PIVOTS, n // 3)) if n <= SMALL else min(MAX_PIVOTS, max(MIN_PIVOTS, round(pivot_rate * math.sqrt(n))))
     sample = classes.orderBy(F.xxhash64("cid", F.lit(7)), "cid").select("vec").limit(m).collect()
     if not sample:
         return spark.createDataFrame([], "cid long, other long, sim float")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 #: Rows a Python worker gets at once; texts may be long, so a batch stays small.
-ARROW_ROWS = 1000
+ARROW_ROWS = 256
 
 
 def tuned(spark: SparkSession) -> SparkSession:

@@ -2,13 +2,44 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
+from .storage import scratch_path
+
 #: Rows a Python worker gets at once; texts may be long, so a batch stays small.
 ARROW_ROWS = 256
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in every Python worker, wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_arbor_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    handle, made = tempfile.mkstemp(suffix=".zip")
+    os.close(handle)
+    try:
+        with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(home):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, os.path.dirname(home)))
+        jvm, shared = context._jvm, scratch_path(spark, "package") + ".zip"
+        target = jvm.org.apache.hadoop.fs.Path(shared)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).copyFromLocalFile(jvm.org.apache.hadoop.fs.Path("file://" + made), target)
+    finally:
+        os.remove(made)
+    context.addPyFile(shared)
+    context._arbor_shipped = True
+
+
 def tuned(spark: SparkSession) -> SparkSession:
+    ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.adaptive.enabled", "true")

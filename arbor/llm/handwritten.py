@@ -2,7 +2,7 @@
 
 No file is labelled, so labels are derived: *giveaways* (a generator's or another
 project's notice in the leading comment, directory and file names that tools and
-package managers use) mark examples. What gave a file away is masked, and a linear
+package managers use, a body of literals only) mark examples. Notices and names that gave a file away are masked, and a linear
 support-vector classifier learns from the rest: hashed character n-grams of the
 body, hashed path components, and bins of a few measures of the body (line length,
 share of literals, repetition, in how many repositories the same body occurs). So
@@ -35,7 +35,9 @@ EPOCHS, C, SEED = 12, 1.0, 7
 ROUNDS, UNSURE = 4, -0.6
 HOLDOUT = 5  # every fifth repository validates
 #: A file is flagged above this score; a giveaway is worth GIVEAWAY.
-THRESHOLD, GIVEAWAY = -0.25, 1.0
+THRESHOLD, GIVEAWAY = 0.0, 1.0
+#: A body of so many lines of which so much is in lines of literals gives a file of data away.
+DATA_LINES, DATA_SHARE = 4, 0.7
 
 # Names that package managers and generators use.
 _FOREIGN_DIRS = frozenset("vendor vendored third_party third-party thirdparty node_modules bower_components external deps".split())
@@ -45,7 +47,7 @@ _MADE_NOTICE = re.compile(r"@generated|(?:auto-?|machine[- ])generated|generated
 _FOREIGN_NOTICE = re.compile(r"upstream|copied from|released under|\b(?:MIT|BSD|Apache|ISC)\b|contributors|\bv?\d+\.\d+(?:\.\d+)+\b|^/\*!", re.I)
 _LEAD = re.compile(r"""\s*(?:/\*[\s\S]*?\*/|//[^\n]*|\#(?!include|define|if|pragma|ifndef)[^\n]*|'use strict';|"use strict";)""")
 _COMMENT = re.compile(r"/\*[\s\S]*?\*/|(?<![:\"'])//[^\n]*|^[ \t]*#(?!include|define|if|endif|else|pragma)[^\n]*", re.M)
-_LITERAL_LINE = re.compile(r"""\s*(?:(?:-?(?:\d[\w.]*|\.\d+)|[bru]?"(?:[^"\\]|\\.)*"|[bru]?'(?:[^'\\]|\\.)*'|[\[\](){}]|true|false|null|None|nil)\s*[,;:]?\s*)+$""")
+_LITERAL_LINE = re.compile(r"""\s*+(?>(?:-?(?:\d[\w.]*+|\.\d++)|[bru]?"(?:[^"\\]|\\.)*+"|[bru]?'(?:[^'\\]|\\.)*+'|[\[\](){}]|true|false|null|None|nil)\s*+[,;:]?+\s*+)++$""")
 _WORD = re.compile(r"[A-Za-z_]\w*|\d[\w.]*")
 _PARTS = re.compile(r"[/\\]+")
 _SUBWORD = re.compile(r"[A-Za-z][a-z]*|\d+")
@@ -78,6 +80,16 @@ def body_print(lines: list[str]) -> bytes | None:
     return hashlib.blake2b(joined.encode("utf-8", "surrogatepass"), digest_size=12).digest() if len(joined) >= 200 and len(lines) > 1 else None
 
 
+def literal_share(lines: list[str]) -> float:
+    """Characters in lines of nothing but literals, as a share of all."""
+    return sum(len(x) for x in lines if _LITERAL_LINE.match(x)) / (sum(map(len, lines)) or 1)
+
+
+def is_data(lines: list[str]) -> bool:
+    """Whether a body is little else than literals: a giveaway of a file of data."""
+    return len(lines) >= DATA_LINES and literal_share(lines) >= DATA_SHARE
+
+
 def _bin(x: float, edges) -> int:
     return sum(x >= e for e in edges)
 
@@ -85,12 +97,11 @@ def _bin(x: float, edges) -> int:
 def measures(body: str, lines: list[str]) -> list[str]:
     """Names of the bins that the body falls into."""
     size = sum(map(len, lines)) or 1
-    literal = sum(len(x) for x in lines if _LITERAL_LINE.match(x)) / size
     shapes = {_WORD.sub("w", x) for x in lines}
     return [
         f"mean-line {_bin(size / max(1, len(lines)), (40, 60, 90, 140, 250, 500))}",
         f"longest-share {_bin(max(map(len, lines), default=0) / size, (.1, .3, .6, .9))}",
-        f"literal {_bin(literal, (.05, .15, .3, .5, .7, .9))}",
+        f"literal {_bin(literal_share(lines), (.05, .15, .3, .5, .7, .9))}",
         f"shapes {_bin(len(shapes) / max(1, len(lines)), (.02, .05, .1, .2, .35, .5, .7))}",
         f"space {_bin(body.count(' ') / max(1, len(body)), (.02, .05, .1, .2, .3))}",
     ]
@@ -201,7 +212,7 @@ def marks(files: DataFrame) -> DataFrame:
     many repositories its body occurs (1 for bodies too short to tell). One row per path."""
     def run(batches):
         for b in batches:
-            rows = [(p, x.made or x.foreign, body_print(lines)) for p, x, lines in _read(b)]
+            rows = [(p, x.made or x.foreign or is_data(lines), body_print(lines)) for p, x, lines in _read(b)]
             yield pa.RecordBatch.from_arrays([b.column("path"), b.column("repo"), pa.array([g for _, g, _ in rows], pa.bool_()), pa.array([f for _, _, f in rows], pa.binary())], names=["path", "repo", "given", "print"])
 
     seen = _sources(files).mapInArrow(run, "path string, repo string, given boolean, print binary")

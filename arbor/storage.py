@@ -28,7 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/arbor/{label}-{uuid.uuid4().hex}"
+    """A new path in the application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/arbor/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -44,3 +45,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; results that weren't written yet can't be computed afterwards."""
+    drop_path(spark, f"{shared_dir(spark)}/arbor/{spark.sparkContext.applicationId}")

@@ -26,29 +26,27 @@ DIGIT = 16  # bits resolved per round
 
 
 def _ordered(value: Column, kind: T.DataType) -> Column:
-    """A long that sorts like the value. Doubles: the bits, negative ones mirrored; NaN is the largest."""
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        raise TypeError("doubles are scaled to integers by the caller; see key_quantiles(scale=...)")
+    """The value as a long. Fractions have to be scaled to integers by the caller, so that no rank is lost."""
+    if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+        raise TypeError("quantiles are taken of integers; scale other values first")
     return value.cast("long")
 
 
-def distinct_calls(rows: DataFrame, key: str, event: str, value: str) -> DataFrame:
+def event_histogram(rows: DataFrame, key: str, event: str, value: str) -> DataFrame:
     """``(k, v, n)``: per key and value the number of distinct events; a re-delivered event counts
-    once per key, with its smallest value. Null keys are kept apart, rows without an event dropped."""
-    once = rows.where(F.col(event).isNotNull()).groupBy(F.col(key).alias("k"), F.col(event).alias("ev")).agg(F.min(value).alias("v"))
-    return once.groupBy("k", "v").agg(F.count("*").alias("n"))
+    once per key, with its smallest value. The null key is a key, null values are kept, rows without an event dropped.
 
+    The pair (key, event) is made distinct first, so a hot key is spread by its events; then
+    counts are combined before they are sent.
+    """
+    kind = rows.schema[value].dataType
+    once = rows.where(F.col(event).isNotNull()).groupBy(F.col(key).cast("string").alias("k"), F.col(event).alias("ev")).agg(F.min(_ordered(F.col(value), kind)).alias("v"))
+    return once.groupBy("k", "v").agg(F.count("*").alias("n"))
 
-def key_counts(rows: DataFrame, key: str, event: str) -> DataFrame:
-    """``(k, n, total)``: distinct events per key, the null key included, and over all keys.
 
-    The pair (key, event) is made distinct first, so a hot key is spread by its events;
-    then counts are combined before they are sent. An empty table gives no row.
-    """
-    pairs = rows.where(F.col(event).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(event).alias("ev")).distinct()
-    counts = pairs.groupBy("k").agg(F.count("*").alias("n"))
-    total = rows.select(event).where(F.col(event).isNotNull()).distinct().agg(F.count("*").alias("total"))
-    return counts.crossJoin(F.broadcast(total))  # one row
+def value_histogram(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """``(k, v, n)`` of all rows."""
+    return rows.groupBy(F.col(key).cast("string").alias("k"), _ordered(F.col(value), rows.schema[value].dataType).alias("v")).agg(F.count("*").alias("n"))
 
 
 def key_quantiles(rows: DataFrame, key: str, value: str, fractions: Sequence[float], event: str | None = None, hot: int = HOT) -> DataFrame:
@@ -59,39 +57,38 @@ def key_quantiles(rows: DataFrame, key: str, value: str, fractions: Sequence[flo
     others. With ``event``, each (key, event) counts once, with its smallest value. Results equal
     sorting the values of each key; no task ever holds them.
     """
-    kind = rows.schema[value].dataType
-    spark = rows.sparkSession
-    base = rows.where(F.col(value).isNotNull())
-    if event:
-        base = distinct_calls(base, key, event, value)
-        base = base.select(F.col("k").cast("string").alias("k"), _ordered(F.col("v"), kind).alias("v"), "n")
-    else:
-        base = base.select(F.col(key).cast("string").alias("k"), _ordered(F.col(value), kind).alias("v")).groupBy("k", "v").agg(F.count("*").alias("n"))
-    base = materialize(base, "skew-histogram")
+    base = event_histogram(rows, key, event, value) if event else value_histogram(rows, key, value)
+    return histogram_quantiles(materialize(base, "skew-histogram"), fractions, hot)
+
+
+def histogram_quantiles(base: DataFrame, fractions: Sequence[float], hot: int = HOT) -> DataFrame:
+    """The same from a stored histogram ``(k, v, n)``."""
+    base = base.where("v is not null")
     span = base.groupBy("k").agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     wanted = span.withColumn("q", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
     wanted = wanted.withColumn("rank", F.greatest(F.lit(1), F.least(F.col("n"), F.ceil(F.round(F.col("q") * F.col("n"), 9)).cast("long"))))
     # widths of the sub-ranges are powers of two; ranges are aligned to them
     state = materialize(wanted.select("k", "n", "q", "rank", "lo", "hi"), "skew-state")
-    done = None
-    for _ in range(5):
+    done, heavy = None, None
+    while True:
         open_ = state.where("lo < hi")
         closed = state.where("lo = hi").select("k", "n", "q", F.col("lo").alias("v"))
         done = closed if done is None else done.unionByName(closed)
         if open_.isEmpty():
-            break
-        state = materialize(_refine(base, open_, hot), "skew-state")
-    return done
+            return done
+        if heavy is None:
+            records = base.groupBy("k").agg(F.count("*").alias("records"))
+            limit = records.agg((F.sum("records") / hot).alias("most"))
+            heavy = materialize(records.crossJoin(F.broadcast(limit)).where("records > most").select("k"), "skew-heavy")  # fewer than ``hot`` keys
+        state = materialize(_refine(base, open_, heavy), "skew-state")
 
 
-def _refine(base: DataFrame, open_: DataFrame, hot: int) -> DataFrame:
+def _refine(base: DataFrame, open_: DataFrame, heavy: DataFrame) -> DataFrame:
     """One round: each open range is replaced with its sub-range that holds the rank."""
     span = F.col("hi").cast("decimal(20,0)") - F.col("lo").cast("decimal(20,0)") + 1
     shift = F.greatest(F.lit(0), F.ceil(F.log2(span.cast("double"))).cast("int") - DIGIT)
     ranges = open_.select("k", "lo", "hi").distinct().withColumn("shift", shift)
-    totals = base.groupBy("k").agg(F.count("*").alias("records"))
-    limit = base.agg((F.count("*") / hot).alias("most"))
-    heavy = F.broadcast(totals.crossJoin(F.broadcast(limit)).where("records > most").select("k"))
+    heavy = F.broadcast(heavy)
     null_safe = lambda a, b: a["k"].eqNullSafe(b["k"])
     hot_ranges = F.broadcast(ranges.join(heavy, null_safe(ranges, heavy), "left_semi"))
     cold_ranges = ranges.join(heavy, null_safe(ranges, heavy), "left_anti")
@@ -121,11 +118,14 @@ def _refine(base: DataFrame, open_: DataFrame, hot: int) -> DataFrame:
 
 def key_profile(rows: DataFrame, fields: Sequence[str], event: str, value: str, fractions: Sequence[float] = (0.5,)) -> DataFrame:
     """``(field, key_value, n_events, total_events, q, v)``: distinct events of every non-null key of
-    every field, with exact quantiles of a value (null where a key has no value)."""
+    every field, with exact quantiles of a value (null where a key has no value). ``total_events``
+    counts distinct events whatever their keys. Each field is scanned once."""
+    total = materialize(rows.select(event).where(F.col(event).isNotNull()).distinct().agg(F.count("*").alias("total")), "skew-total")
     out = None
     for field in fields:
-        counts = key_counts(rows, field, event).where("k is not null")
-        quantiles = key_quantiles(rows, field, value, fractions, event).select(F.col("k").alias("qk"), "q", "v")
+        base = materialize(event_histogram(rows, field, event, value), "skew-histogram")
+        counts = base.where("k is not null").groupBy("k").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(total))  # one row
+        quantiles = histogram_quantiles(base, fractions).select(F.col("k").alias("qk"), "q", "v")
         part = counts.join(quantiles, F.col("k") == F.col("qk"), "left").select(
             F.lit(field).alias("field"), F.col("k").alias("key_value"), F.col("n").alias("n_events"), F.col("total").alias("total_events"), "q", "v")
         out = part if out is None else out.unionByName(part)

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 
 def _digest(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
@@ -59,7 +61,7 @@ def visual_classes(docs: DataFrame) -> DataFrame:
     another spelling; class_id is the smallest doc_id of the class. The per-class
     figures are mergeable (combined before the shuffle), so a class that holds a
     third of all rows costs one row per task."""
-    prints = fingerprints(docs)
+    prints = materialize(fingerprints(docs), "visual-prints")
     spelled = prints.groupBy("canon", "raw").agg(F.min("doc_id").alias("first"))
     classes = spelled.groupBy("canon").agg(F.min("first").alias("class_id"), F.count("*").alias("n_spellings")).where("n_spellings > 1")
     return prints.join(classes, "canon").select("doc_id", "class_id", "n_spellings")
@@ -69,7 +71,7 @@ def visual_pairs(docs: DataFrame) -> DataFrame:
     """``(doc_a, doc_b)`` with doc_a < doc_b: texts that read the same but differ in
     their code points. Exact copies form no pair, repeated doc_ids with one text
     neither. Classes with one spelling never reach the join."""
-    prints = fingerprints(docs).dropDuplicates(["doc_id", "raw"])
+    prints = materialize(fingerprints(docs), "visual-prints").dropDuplicates(["doc_id", "raw"])
     shared = prints.groupBy("canon", "raw").agg(F.lit(1).alias("one")).groupBy("canon").agg(F.count("*").alias("n")).where("n > 1").select("canon")
     left = prints.join(shared, "canon", "left_semi")
     a = left.select(F.col("doc_id").alias("doc_a"), "canon", F.col("raw").alias("raw_a"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import side_by_side
 from .entities import keep_last
 from .files import strip_hash_lines, text_lengths, tokens
 from .graph import entity_context
@@ -40,7 +41,7 @@ def token_totals(vectors: DataFrame, files: DataFrame) -> DataFrame:
     0 percent when there are no files."""
     naive = text_lengths(files).agg(tokens(F.coalesce(F.sum("n_chars"), F.lit(0))).alias("naive_tokens"))
     used = token_estimates(vectors).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("optimized_tokens"))
-    row = naive.crossJoin(used)  # one row each
+    row = side_by_side(naive, used)
     saved = F.col("naive_tokens") - F.col("optimized_tokens")
     percent = F.coalesce(F.round(F.try_divide(saved.cast("double"), F.col("naive_tokens").cast("double")) * 100, 4), F.lit(0.0))
     return row.select("naive_tokens", "optimized_tokens", saved.alias("savings"), percent.alias("savings_percentage"), F.round(saved.cast("double") / 1e6 * PRICE, 6).alias("dollars_saved"))
@@ -66,7 +67,7 @@ def summary(files: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFram
     own = keep_last(entities)
     a = files.agg(F.count_distinct("path").alias("files"))
     b = own.agg(F.count("*").alias("entities"), *[F.count_if(F.col("type") == t).alias(f"n_{t}") for t in ("function", "class", "method", "constructor", "struct", "interface")])
-    return a.crossJoin(b).crossJoin(edges.agg(F.count("*").alias("calls")))  # one row each
+    return side_by_side(a, b, edges.agg(F.count("*").alias("calls")))
 
 
 def answer(question: str, vectors: DataFrame, edges: DataFrame, entities: DataFrame, model, k: int = 5, llm=None) -> dict:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import side_by_side
 from ..storage import materialize
 from .entities import keep_last
 
@@ -185,7 +186,7 @@ def statistics(edges: DataFrame, entities: DataFrame) -> DataFrame:
     counts = own.agg(F.count("*").alias("total_entities"), F.count_distinct("file_path").alias("total_files"))
     calls = edges.agg(F.count("*").alias("total_calls"))
     cycles = components(edges, own).groupBy("component").count().where("count > 1").agg(F.count("*").alias("cycles"))
-    row = counts.crossJoin(calls).crossJoin(cycles)  # one row each
+    row = side_by_side(counts, calls, cycles)
     average = F.coalesce(F.round(F.try_divide(F.col("total_calls").cast("double"), F.col("total_entities").cast("double")), 6), F.lit(0.0))
     return row.select("total_entities", "total_calls", "total_files", average.alias("avg_calls"), "cycles")
 

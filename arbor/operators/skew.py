@@ -78,8 +78,7 @@ def histogram_quantiles(base: DataFrame, fractions: Sequence[float], hot: int =
             return done
         if heavy is None:
             records = base.groupBy("k").agg(F.count("*").alias("records"))
-            limit = records.agg((F.sum("records") / hot).alias("most"))
-            heavy = materialize(records.crossJoin(F.broadcast(limit)).where("records > most").select("k"), "skew-heavy")  # fewer than ``hot`` keys
+            heavy = materialize(records.where(F.col("records") > base.count() / hot).select("k"), "skew-heavy")  # fewer than ``hot`` keys
         state = materialize(_refine(base, open_, heavy), "skew-state")
 
 
@@ -120,14 +119,14 @@ def key_profile(rows: DataFrame, fields: Sequence[str], event: str, value: str,
     """``(field, key_value, n_events, total_events, q, v)``: distinct events of every non-null key of
     every field, with exact quantiles of a value (null where a key has no value). ``total_events``
     counts distinct events whatever their keys. Each field is scanned once."""
-    total = materialize(rows.select(event).where(F.col(event).isNotNull()).distinct().agg(F.count("*").alias("total")), "skew-total")
+    total = rows.select(event).where(F.col(event).isNotNull()).distinct().count()
     out = None
     for field in fields:
         base = materialize(event_histogram(rows, field, event, value), "skew-histogram")
-        counts = base.where("k is not null").groupBy("k").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(total))  # one row
+        counts = base.where("k is not null").groupBy("k").agg(F.sum("n").alias("n"))
         quantiles = histogram_quantiles(base, fractions).select(F.col("k").alias("qk"), "q", "v")
         part = counts.join(quantiles, F.col("k") == F.col("qk"), "left").select(
-            F.lit(field).alias("field"), F.col("k").alias("key_value"), F.col("n").alias("n_events"), F.col("total").alias("total_events"), "q", "v")
+            F.lit(field).alias("field"), F.col("k").alias("key_value"), F.col("n").alias("n_events"), F.lit(total).cast("long").alias("total_events"), "q", "v")
         out = part if out is None else out.unionByName(part)
     return out
 

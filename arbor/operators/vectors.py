@@ -7,6 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import side_by_side
+from ..storage import materialize
+
 #: Queries that are searched in one pass over the collection.
 BLOCK = 512
 DIM = 384
@@ -16,16 +19,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", v
     """``(query_id, id, distance)``: for every query its k nearest rows by squared L2 distance, ascending, ties to the smaller id.
 
     ``queries`` has (query_id, vector[, group]); with ``group_col`` only rows of the query's group
-    compete. Queries are taken in blocks of BLOCK, each block is shipped to the scan, and a
-    task keeps k rows per query, so k rows per query and task are shuffled. Null vectors and
-    vectors of another length than the query's have no distance.
+    compete. Queries are taken in blocks of about BLOCK; one block at a time is on the driver and
+    shipped to a scan, and a task keeps k rows per query, so k rows per query and task are
+    shuffled. Null vectors and vectors of another length than the query's have no distance.
     """
     spark = vectors.sparkSession
-    asked = queries.where("vector is not null").select("query_id", "vector", *(["group"] if group_col else [])).collect()
+    asked = queries.where("vector is not null").select("query_id", "vector", *(["group"] if group_col else []))
+    asked = materialize(asked, "search-queries")
+    blocks = -(-asked.count() // BLOCK)
     kind = vectors.schema[id_col].dataType.simpleString()
     out = None
-    for lo in range(0, len(asked), BLOCK):
-        block = asked[lo:lo + BLOCK]
+    for number in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).collect()
         by_size: dict[int, list] = {}
         for r in block:
             by_size.setdefault(len(r.vector), []).append(r)
@@ -86,8 +91,8 @@ def delete_files(vectors: DataFrame, paths: DataFrame) -> DataFrame:
 
 def statistics(entity_vectors: DataFrame, file_vectors: DataFrame) -> DataFrame:
     """One row: distinct ids of both collections, and the usual dimension."""
-    a = entity_vectors.agg(F.count_distinct("id").alias("total_entities"))
-    return a.crossJoin(file_vectors.agg(F.count_distinct("id").alias("total_files"))).withColumn("dimension", F.lit(DIM))  # one row each
+    both = side_by_side(entity_vectors.agg(F.count_distinct("id").alias("total_entities")), file_vectors.agg(F.count_distinct("id").alias("total_files")))
+    return both.withColumn("dimension", F.lit(DIM))
 
 
 def fit_embedder(texts: DataFrame, text_col: str = "document"):

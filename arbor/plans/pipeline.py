@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.languages import language
+from ..functions.rows import side_by_side
 from ..operators import graph, parse, vectors
 from ..operators.entities import entity_text
 from ..operators.files import content_hashes, file_text, text_of
@@ -88,8 +89,8 @@ def index_codebase(spark: SparkSession, root: str, store: str, force: bool = Fal
     }
     new = {name: materialize(df, f"index-{name}") for name, df in new.items()}
     new["edges"] = graph.build_edges(new["calls"], new["entities"])
-    new["metadata"] = new["entities"].agg(F.count_distinct("id").alias("total_entities")).crossJoin(fresh.agg(F.count("*").alias("total_files"))).select(
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("last_indexed"), "total_files", "total_entities")  # one row each
+    totals = side_by_side(new["entities"].agg(F.count_distinct("id").alias("total_entities")), fresh.agg(F.count("*").alias("total_files")))
+    new["metadata"] = totals.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("last_indexed"), "total_files", "total_entities")
     new["snapshot"] = fresh
     for name, df in new.items():
         save_snapshot(df, f"{store}/{name}")

@@ -129,6 +129,7 @@ def token_scripts(token: str) -> tuple[int, bool]:
     return common, written & (written - 1) != 0
 
 
+@lru_cache(maxsize=50_000)
 def _spell(token: str, dominant: int) -> str:
     common, _ = token_scripts(token)
     want = common if common in _ORDER else dominant if common & dominant or not common else min(s for s in _ORDER if common & s)
@@ -156,15 +157,7 @@ def canonical(text: str) -> str:
     dominant = _dominant(apart)
     if dominant == CYRILLIC and not _NOT_CYRILLIC.search(apart):
         return unicodedata.normalize("NFC", text)
-    known: dict[str, str] = {}
-
-    def respell(m: re.Match) -> str:
-        token = m.group()
-        if token not in known:
-            known[token] = _spell(token, dominant)
-        return known[token]
-
-    return unicodedata.normalize("NFC", _TOKEN.sub(respell, apart))
+    return unicodedata.normalize("NFC", _TOKEN.sub(lambda m: _spell(m.group(), dominant), apart))
 
 
 def findings(text: str) -> tuple[int, int, int]:

@@ -132,6 +132,12 @@ def call_chains(edges: DataFrame, pairs: DataFrame, most: int = PATH_EDGES) -> D
     return done.select("start", "goal", F.array_join("path", " -> ").alias("chain"))
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges whose source has a way in and whose target has a way out."""
+    into, out = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+    return edges.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst")
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(id, component)``: strongly connected components, named by their smallest id; nodes on no cycle are alone.
 
@@ -144,8 +150,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     while True:
         before = rest.count()
         while before:
-            kept = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-            rest = materialize(kept.select("src", "dst"), "scc-edges")
+            rest = materialize(_trimmed(_trimmed(rest)), "scc-edges")  # two rounds per table that is written
             after = rest.count()
             if after == before:
                 break

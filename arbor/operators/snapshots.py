@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.paths import one_spelling
 from ..storage import scratch_path
 
-BUCKETS = 32
+#: Buckets of an index: at least BUCKETS, and no more than about BUCKET_ROWS keys in each.
+BUCKETS, BUCKET_ROWS = 32, 4_000_000
 
 
 def normalized_nodes(nodes: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def snapshot_changes(nodes: DataFrame) -> DataFrame:
 
     spark = nodes.sparkSession
     rows = materialize(normalized_nodes(nodes), "snapshot-rows")
-    index, out = SnapshotIndex(spark), None
+    index, out = SnapshotIndex(spark, max(BUCKETS, rows.count() // BUCKET_ROWS)), None
     for r in rows.select("snapshot_id").distinct().orderBy("snapshot_id").collect():  # one row per snapshot
         changes = index.advance(rows.where(F.col("snapshot_id") == r.snapshot_id).select("path", "hash", "is_file"))
         if changes is not None:

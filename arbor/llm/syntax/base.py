@@ -177,7 +177,7 @@ class Parser:
         i, k = self.p, self.k
         j = self.ends.search(k, i).start()
         key = k[i:j + 1]
-        if k[j] == ";" and key in self.done.setdefault(self.ctx, set()):
+        if k[j] == ";" and self.t[j + 1] != "else" and key in self.done.setdefault(self.ctx, set()):
             self.p = j + 1
             return True
         if self.t[i] == "for" and (j := k.find("{", i)) > 0:

@@ -6,6 +6,8 @@ import re
 
 from .base import Lexer, Parser
 
+#: Names that are often macros: capitals, or two underscores in front.
+_MACRO = re.compile(r"_*[A-Z][A-Z0-9_]+|__\w+")
 _DIRECTIVE = re.compile(r"#\s*(include|define|undef|ifdef|ifndef|if|elifdef|elifndef|elif|else|endif|error|warning|pragma|line|ident|import|\d|$)", re.M)
 
 
@@ -21,7 +23,8 @@ class CLexer(Lexer):
             return self.code["#else"] if word.startswith("el") else self.code["#endif"] if word == "endif" else ""
         if len(t) > 2 and t[0] in "LuU" and t[-1] in "\"'":
             return self.code["STR" if t[-1] == '"' else "CHR"]
-        return super().kind(t)
+        k = super().kind(t)
+        return self.code["MACRO"] if k == self.code["ID"] and _MACRO.fullmatch(t) else k
 
 
 _TYPES = frozenset("void char short int long float double signed unsigned _Bool _Complex bool wchar_t __int128".split())
@@ -30,10 +33,14 @@ _TAGS = frozenset(("struct", "union", "enum"))
 _STARTS = _TYPES | _QUALIFIERS | _TAGS | {"_Alignas", "typeof", "__attribute__", "__declspec", "_Static_assert", "static_assert"}
 
 
+_BEHIND = frozenset((";", ",", "{", "=", "__attribute__", "ID"))
+_NAMES = frozenset(("ID", "*"))
+
+
 class CParser(Parser):
     LEX = CLexer(
         r"""//(?:[^\n\\]|\\[\s\S])*|/\*[\s\S]*?\*/|/\*|\#(?:[^\n\\/]|\\\r?\n|\\.|/(?![*/])|/\*[\s\S]*?\*/)*|(?:u8|[LuU])?"(?:[^"\\\n]|\\[\s\S])*"|[LuU]?'(?:[^'\\\n]|\\.)+'|0[xX][\w.']*(?:(?<=[pP])[+-]\w+)?|\.?\d(?:[eE][+-]|[\w.]|'(?=\w))*""",
-        " ".join(sorted(_STARTS)) + " if else while for do switch case default break continue return goto sizeof _Alignof asm __asm__ _Generic #if #if0 #else #endif",
+        " ".join(sorted(_STARTS)) + " MACRO if else while for do switch case default break continue return goto sizeof _Alignof asm __asm__ _Generic #if #if0 #else #endif",
         "{ } ( ) [ ] ; , . -> ... = == != < > <= >= + - * / % & | ^ ~ ! && || << >> ++ -- += -= *= /= %= &= |= ^= <<= >>= ? :",
         r"(?:0[xX][\da-fA-F']*\.?[\da-fA-F']*(?:[pP][+-]?\d+)?|0[bB][01']+|[\d']+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)[uUlLfFzZ]*",
         ident=r"[^\W\d][\w$]*",
@@ -41,6 +48,23 @@ class CParser(Parser):
     PREC = {"||": 1, "&&": 2, "|": 3, "^": 4, "&": 5, "==": 6, "!=": 6, "<": 7, ">": 7, "<=": 7, ">=": 7, "<<": 8, ">>": 8, "+": 9, "-": 9, "*": 10, "/": 10, "%": 10}
     ASSIGN = frozenset("= += -= *= /= %= &= |= ^= <<= >>=".split())
 
+    def __init__(self, shape: str):
+        super().__init__(shape)
+        self.macro, self.t = self.t, ["ID" if x == "MACRO" else x for x in self.t]
+
+    def skip_macro(self, follow: frozenset[str]) -> bool:
+        """Passes a macro, with its arguments, if one of ``follow`` comes behind it."""
+        if self.macro[self.p] != "MACRO":
+            return False
+        at = self.p
+        self.p += 1
+        if self.t[self.p] == "(":
+            self.balanced()
+        if self.t[self.p] in follow:
+            return True
+        self.p = at
+        return False
+
     @classmethod
     def prepare(cls, shape: str) -> tuple[str, list[int] | None]:
         """Without the branches that aren't compiled; where kept tokens were, if some weren't."""
@@ -181,6 +205,11 @@ class CParser(Parser):
             self.assignment()
 
     # declarations
+    def after_declarator(self) -> None:
+        self.attributes()
+        while self.t[self.p - 1] in (")", "]", "ID") and self.skip_macro(_BEHIND):
+            self.attributes()
+
     def attributes(self) -> None:
         while self.t[self.p] in ("__attribute__", "__declspec", "_Alignas", "asm", "__asm__"):
             self.p += 1
@@ -205,6 +234,10 @@ class CParser(Parser):
                 self.p += 1
                 self.balanced()
                 base = True
+            elif x == "ID" and (base and self.skip_macro(_NAMES) or not any_ and self.skip_macro(_STARTS)):
+                pass
+            elif x == "ID" and not base and t[self.p + 1] == "(" and self.skip_macro(_NAMES):
+                base = True
             elif x == "ID" and not base:
                 # a name is the type, unless what follows shows that it is what is declared
                 if any_ and t[self.p + 1] in ("=", ";", ",", "[", ")", ":") or any_ and t[self.p + 1] == "(" and not self.names_type():
@@ -291,7 +324,7 @@ class CParser(Parser):
                 self.parameters()
                 function = True
             else:
-                self.attributes()
+                self.after_declarator()
                 return function
 
     def parameters(self) -> None:
@@ -492,7 +525,7 @@ class CParser(Parser):
             self.balanced()
             self.need(";")
             return
-        if t[self.p] == "ID" and t[self.p + 1] == "(":  # a macro call or a function without a type
+        if t[self.p] == "ID" and t[self.p + 1] == "(" and not (self.macro[self.p] == "MACRO" and self.wraps_type()):  # a macro call or a function without a type
             self.p += 1
             if self.declarator_tail():
                 self.inside("f", self.block)
@@ -504,6 +537,13 @@ class CParser(Parser):
         self.declaration(i, True)
         self.note(i)
 
+    def wraps_type(self) -> bool:
+        """Whether a macro with arguments stands for a type, as in EXPORT(int) name(...)."""
+        at = self.p
+        found = self.skip_macro(_NAMES | _STARTS)
+        self.p = at
+        return found
+
     def declarator_tail(self) -> bool:
         self.balanced()
         self.attributes()

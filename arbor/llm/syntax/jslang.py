@@ -46,7 +46,7 @@ class JsLexer(Lexer):
 
 class JsParser(Parser):
     LEX = JsLexer(
-        r"//[^\n]*|/\*[\s\S]*?\*/|/\*|\n|\A\#![^\n]*|\"(?:[^\"\\\n]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*'|" + _TEMPLATE + r"|0[xXbBoO][\w]*|\.?\d(?:[eE][+-]|\w|\.(?!\.))*",
+        r"//[^\n]*|/\*[\s\S]*?\*/|/\*|\n|\?(?=\.\d)|\A\#![^\n]*|\"(?:[^\"\\\n]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*'|" + _TEMPLATE + r"|0[xXbBoO][\w]*|\.?\d(?:[eE][+-]|\w|\.(?!\.))*",
         "TPL " + " ".join(sorted(_WORDS)),
         "{ } ( ) [ ] ; , . ... ?. ? : => = == === != !== < > <= >= + - * / % ** & | ^ ~ ! && || ?? << >> >>> ++ -- += -= *= /= %= **= &= |= ^= <<= >>= >>>= &&= ||= ??= @",
         r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|\d[\d_]*)n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?",

@@ -11,10 +11,10 @@ VALID = {
     "python": ["", "\ufeffx = 1\n", "async def f(*, a: int = 1, **k) -> x:\n    async with a as b, c: pass\n    return [y async for y in z if y]\n", "match x:\n    case {'a': 1 as b, **r} | [1, *_]:\n        pass\n    case _:\n        pass\nmatch = case = 1\nprint(match)\n",
                "if x:\n\ty = (1,\n  2)\nelse: pass\n", "try:\n    pass\nexcept* (A, B) as e:\n    pass\nfinally:\n    pass\n", "@a.b(c)\nclass A(B, metaclass=M): x: int = 1; y = lambda *a, b=1: (yield)\n", "f'{a!r:>{w}} {{}}' 'x'\nx = a if b else c\n*a, b = c\nprint(*a, **b, c=1)\nx[1:2, ::3] = y\n",
                "def f[T](x): return x\ntype X = int\n", "x = 0xFF + 1_000 + 1e5j + .5\n", "f'{x['a']}'\n"],
-    "c": ["", "int main(void) { return 0; }", "typedef int (*cb)(void *, size_t);\nenum { A, B = 2, };\nstatic const char *a[] = { \"x\" \"y\", [3] = \"z\" };", "#if A\nint f() {\n#else\nint f(int x) {\n#endif\n  return (foo_t *)x->y[1] ? sizeof(int) : (char)~1;\n}\n", "void f(x) int x; { for (int i = 0; i < 3; i++) do { x--; } while (x); switch (x) { case 1: break; default: goto end; } end: ; }", "#ifdef __cplusplus\nextern \"C\" {\n#endif\nint f(int a, ...);\n#ifdef __cplusplus\n}\n#endif\n", "struct s { int a : 3; union { int b; }; } x = { .a = 1 };"],
+    "c": ["", "int main(void) { return 0; }", "typedef int (*cb)(void *, size_t);\nenum { A, B = 2, };\nstatic const char *a[] = { \"x\" \"y\", [3] = \"z\" };", "#if A\nint f() {\n#else\nint f(int x) {\n#endif\n  return (foo_t *)x->y[1] ? sizeof(int) : (char)~1;\n}\n", "void f(x) int x; { for (int i = 0; i < 3; i++) do { x--; } while (x); switch (x) { case 1: break; default: goto end; } end: ; }", "#ifdef __cplusplus\nextern \"C\" {\n#endif\nint f(int a, ...);\n#ifdef __cplusplus\n}\n#endif\n", "struct s { int a : 3; union { int b; }; } x = { .a = 1 };", "__BEGIN\nextern int f(const char *a) __THROW __nonnull((1));\nEXPORT(int) g(FILE *x);\nint WINAPI h(void) { if (a) b; if (a) b; else c; }\n"],
     "java": ["package a.b;\nimport static x.Y.*;\n@A(b = {1, 2}) public final class C<T extends D & E> extends F<G<H>> implements I { int[] a = new int[]{1, 2}, b; C() throws E { this(1); } <U> List<U> f(final U... x) { for (var y : x) { if (y instanceof String s && s.isEmpty()) continue; } return a -> b.c(D::new); } }",
              "enum A implements B { X(1) { int f() { return 1; } }, Y; int z; }\ninterface I { default int f() { return switch (x) { case 1, 2 -> 3; default -> { yield 4; } }; } }\nrecord P(int a, String b) { P { } }", "class A { static { x >>>= 2; int y = a < b ? c : d >> 1; try (var r = f()) { } catch (E | F e) { } finally { } synchronized (this) { } L: while (true) break L; } }", 'class A { String s = """\n  text "quoted"\n  """; char c = \'\\u0041\'; }'],
-    "javascript": ["", "#!/usr/bin/env node\nconst {a, b: [c = 1], ...d} = e\nlet f = async ({x}) => { await x }\nclass A extends B { #p = 1; static async *g() { yield* 1 } get x() { return this.#p } }", "a = b\n++c\nfor (const [k, v] of Object.entries(x)) if (k in v) continue; else break", "x = /[/]\\//g.test(y) / 2; t`a${`b${c}`}d`; a?.b?.[c]?.(d) ?? 1 ** 2", "do x++; while (x < 3) label: for (;;) { break label }\nswitch (x) { case 1: default: }\nvar async = 1, of = 2, get = {get a() { return 1 }, set b(v) {}, async c() {}, *d() {}, [e]: 1}", "!function(){var a={b:!0};return a}()", "try { throw 1 } catch { } finally { }\nnew Foo\nnew a.b(c).d"],
+    "javascript": ["", "#!/usr/bin/env node\nconst {a, b: [c = 1], ...d} = e\nlet f = async ({x}) => { await x }\nclass A extends B { #p = 1; static async *g() { yield* 1 } get x() { return this.#p } }", "a = b\n++c\nfor (const [k, v] of Object.entries(x)) if (k in v) continue; else break", "x = /[/]\\//g.test(y) / 2; t`a${`b${c}`}d`; a?.b?.[c]?.(d) ?? 1 ** 2", "do x++; while (x < 3) label: for (;;) { break label }\nswitch (x) { case 1: default: }\nvar async = 1, of = 2, get = {get a() { return 1 }, set b(v) {}, async c() {}, *d() {}, [e]: 1}", "!function(){var a={b:!0};return a}()", "try { throw 1 } catch { } finally { }\nnew Foo\nnew a.b(c).d", "x = a?.5:1", "if (a) b;\nif (a) b; else c;\nwhile (x) if (a) b;\nwhile (x) if (a) b; else c;"],
     "go": ["package a\n", "package a\n\nimport (\n\t\"fmt\"\n\tx \"y\"\n)\n\ntype T[K comparable, V any] struct {\n\ta, b int `json:\"a\"`\n\t*E\n}\n\nfunc (t *T[K, V]) f(a int, b ...string) (x int, err error) {\n\tif v, ok := m[a]; ok && v.(int) > 1 {\n\t\treturn v, nil\n\t} else if x := (T{1, 2}); x.a == 1 {\n\t}\n\tfor i := range b {\n\t\tgo func() { c <- i }()\n\t}\n\tselect {\n\tcase v := <-c:\n\t\t_ = v\n\tdefault:\n\t}\n\tswitch y := z.(type) {\n\tcase int, []string:\n\t\tfallthrough\n\tdefault:\n\t\tbreak\n\t}\n\treturn\n}\n", "package a\nvar m = map[string][]int{\"a\": {1, 2}, \"b\": nil}\nconst (\n\tA = iota\n\tB\n)\ntype I interface {\n\t~int | string\n\tF(x int) error\n}\n"],
 }
 INVALID = {

@@ -160,6 +160,74 @@ def canonical(text: str) -> str:
     return unicodedata.normalize("NFC", _TOKEN.sub(lambda m: _spell(m.group(), dominant), apart))
 
 
+def _classes() -> dict[str, tuple[str, ...]]:
+    """Small letters joined by looks or case, in any number of steps; Latin ones first."""
+    group: dict[str, set[str]] = {}
+    for row in LOOKALIKES:
+        whole = set().union(*(group.get(x, {x}) for x in {c.lower() for c in row if c}))
+        for x in whole:
+            group[x] = whole
+    return {x: tuple(sorted(whole)) for x, whole in group.items()}
+
+
+_CLASS = _classes()
+_MARKED = re.compile("([^\\W\\d_])([\u0300-\u036f])")
+
+
+def _first_made(letters, marks: str) -> str | None:
+    """The first letter that makes one character with the marks, with them."""
+    return next((made for x in letters if len(made := unicodedata.normalize("NFC", x + marks)) == 1), None)
+
+
+@lru_cache(maxsize=4096)
+def _with_mark(ch: str, mark: str) -> str:
+    near = [x for x in _TWIN.get(ch, ()) if x]
+    far = [x.upper() if ch.isupper() else x for x in _CLASS.get(ch.lower(), ())]
+    return _first_made([*near, *far], mark) or ch + mark
+
+
+def joined(text: str) -> str:
+    """Step 1 and NFC, where a letter that makes no character with its mark takes a look-alike that does. A word's
+    end never depends on the look-alikes chosen; 'İ' stays apart, as in small letters."""
+    text = unicodedata.normalize("NFC", unseen_removed(text))
+    if not text.isascii():
+        text = _MARKED.sub(lambda m: _with_mark(*m.groups()), text).replace("İ", "I\u0307")
+    return text
+
+
+def _skeleton_table() -> dict[int, str]:
+    out = {ord("ς"): "σ"}
+    for code in (*range(0x61, 0x7B), *range(0xC0, 0x530), *range(0x1E00, 0x2000)):
+        ch = chr(code)
+        apart = unicodedata.normalize("NFD", ch)
+        if apart[0] in _CLASS and ch.islower() and (made := _first_made(_CLASS[apart[0]], apart[1:])) and made != ch:
+            out[code] = made
+    return out
+
+
+_SKELETON = _skeleton_table()
+
+
+def skeleton(word: str) -> str:
+    """One form for all spellings of a word of ``joined`` that look alike or differ in case, whatever text it is in."""
+    return word.lower().translate(_SKELETON)
+
+
+@lru_cache(maxsize=4096)
+def _lowers(ch: str) -> frozenset[str]:
+    """The small letters that a letter can stand for."""
+    return frozenset(x.casefold() for x in _TWIN.get(ch, (ch,)) if x)
+
+
+@lru_cache(maxsize=50_000)
+def same_word(a: str, b: str) -> bool:
+    """Whether words of one skeleton look alike but for case. Letters of one script must be the same letter."""
+    if a.lower() == b.lower():
+        return True
+    a, b = unicodedata.normalize("NFD", a), unicodedata.normalize("NFD", b)
+    return len(a) == len(b) and all(x.casefold() == y.casefold() or _script(x) != _script(y) and _lowers(x) & _lowers(y) for x, y in zip(a, b))
+
+
 def findings(text: str) -> tuple[int, int, int]:
     """(special characters, mixed-script tokens, whole-script look-alike tokens against the text's script)."""
     special = len(_SPECIAL.findall(text))

@@ -12,6 +12,10 @@ WAND, for all queries of a batch at once:
 2. for the rest, the sums of the highest impacts per block drop blocks;
 3. items of the surviving blocks are scored exactly;
 4. a retrieved (text, item) pair is verified: it must share the run of words.
+
+Words are compared by skeletons, which join letters that look alike or differ in case only,
+whatever the text around them. Verification looks at the letters as written, so that
+what only a chain of such steps joins (Latin n and v, by the Greek nu) is told apart.
 """
 
 from __future__ import annotations
@@ -29,36 +33,68 @@ RUN, BLOCK = 15, 16
 K1, B = 1.2, 0.75
 #: Items per index. The index is shipped to every worker, so a larger set of items is done in shards of this size.
 SHARD = 5000
+#: Words whose numbers a worker remembers.
+TERMS = 500_000
 _WORD = re.compile(r"[^\W_]+")
 
 
+def _surface(text: str) -> list[str]:
+    """Runs of letters or digits as written, without what nobody sees."""
+    from .glyphs import joined
+
+    return _WORD.findall(text if text.isascii() else joined(text))
+
+
 def words(text: str) -> list[str]:
-    """Runs of letters or digits of the consistent form, without case."""
-    from .glyphs import canonical
+    """Runs of letters or digits as skeletons: without case and the same for all look-alikes."""
+    from .glyphs import joined, skeleton
+
+    return [skeleton(w) for w in _WORD.findall(text.lower() if text.isascii() else joined(text).lower())]
+
+
+class _Terms(dict):
+    """Numbers of words, 0 for those that no item has; filled as words are met."""
 
-    return _WORD.findall(text.lower() if text.isascii() else canonical(text).lower())
+    def __init__(self, vocab: dict[str, int]):
+        super().__init__()
+        self.vocab = vocab
+
+    def __missing__(self, word: str) -> int:
+        from .glyphs import skeleton
+
+        if len(self) > TERMS:
+            self.clear()
+        self[word] = number = self.vocab.get(skeleton(word), 0)
+        return number
+
+    def __reduce__(self):
+        return _Terms, (self.vocab,)
 
 
 class BlockMaxIndex:
     """BM25 impacts of a bounded set of items, as a fraction of each item's threshold."""
 
     def __init__(self, items: list[tuple[int, str]], run: int = RUN, block: int = BLOCK):
-        kept = [(i, w) for i, t in items if t and len(w := words(t)) >= run]
-        self.run, self.block, self.item_ids = run, block, [i for i, _ in kept]
+        kept = [(i, w, t) for i, t in items if t and len(w := words(t)) >= run]
+        self.run, self.block, self.item_ids = run, block, [i for i, _, _ in kept]
         self.vocab: dict[str, int] = {}
-        ids = [[self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws] for _, ws in kept]
+        ids = [[self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws] for _, ws, _ in kept]
         n, v = len(kept), len(self.vocab) + 1
         df = Counter(t for x in ids for t in set(x))
         mean = sum(map(len, ids)) / max(n, 1)
         impact = np.zeros((v, -(-max(n, 1) // block) * block), np.float32)
-        self.grams: list[set[bytes]] = []
+        self.surface = [_surface(t) for _, _, t in kept]
+        self.terms = _Terms(self.vocab)
+        self.grams: list[dict[bytes, list[int]]] = []
         for k, x in enumerate(ids):
             score = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(x) / mean)) for t, c in Counter(x).items()}
             lowest = min(sum(score[t] for t in set(x[p:p + run])) for p in range(len(x) - run + 1))
             for t, s in score.items():
                 impact[t, k] = s / lowest * (1 + 1e-4)
             arr = np.array(x, np.int32)
-            self.grams.append({arr[p:p + run].tobytes() for p in range(len(x) - run + 1)})
+            self.grams.append({})
+            for p in range(len(x) - run + 1):
+                self.grams[k].setdefault(arr[p:p + run].tobytes(), []).append(p)
         self.impact = impact
         self.block_max = impact.reshape(v, -1, block).max(axis=2)
         self.term_max = self.block_max.max(axis=1).astype(np.float64) if n else np.zeros(v)
@@ -66,12 +102,14 @@ class BlockMaxIndex:
     def search(self, texts: list[str]) -> list[set[int]]:
         """For each text, the positions of the items of which it has a run of words."""
         found: list[set[int]] = [set() for _ in texts]
-        get, seqs = self.vocab.get, []
-        for t in texts:
-            seqs.append([get(w, 0) for w in words(t)])
+        from .glyphs import joined
+
+        seqs = [[self.terms[w] for w in _WORD.findall(t.lower() if t.isascii() else joined(t).lower())] for t in texts]
         flat = np.concatenate([np.array(s + [0], np.int32) for s in seqs]) if seqs else np.zeros(0, np.int32)
         if len(flat) < self.run:
             return found
+        begins = np.cumsum([0] + [len(s) + 1 for s in seqs])
+        written: tuple[int, list[str]] = (-1, [])
         owner = np.repeat(np.arange(len(seqs)), [len(s) + 1 for s in seqs])
         total = np.concatenate(([0.0], np.cumsum(self.term_max[flat])))
         starts = np.flatnonzero(total[self.run:] - total[: -self.run] >= 1 - 1e-6)
@@ -84,10 +122,24 @@ class BlockMaxIndex:
                 score = self.impact[terms[q], blk * self.block:(blk + 1) * self.block].sum(axis=0)
                 for k in np.flatnonzero(score >= 1 - 1e-6):
                     item = int(blk) * self.block + int(k)
-                    if item < len(self.grams) and flat[at[q]:at[q] + self.run].tobytes() in self.grams[item]:
-                        found[owner[at[q]]].add(item)
+                    doc = int(owner[at[q]])
+                    if item >= len(self.grams) or item in found[doc]:
+                        continue
+                    places = self.grams[item].get(flat[at[q]:at[q] + self.run].tobytes())
+                    if places:
+                        if written[0] != doc:
+                            written = doc, _surface(texts[doc])
+                        p = int(at[q] - begins[doc])
+                        if self._same_run(written[1][p:p + self.run], item, places):
+                            found[doc].add(item)
         return found
 
+    def _same_run(self, run: list[str], item: int, places: list[int]) -> bool:
+        from .glyphs import same_word
+
+        own = self.surface[item]
+        return any(all(map(same_word, run, own[p:p + self.run])) for p in places)
+
 
 def leaks(docs: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     """``(doc_id, item_id)``, distinct: texts with at least ``run`` consecutive words of an item.

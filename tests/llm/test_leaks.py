@@ -56,3 +56,22 @@ def test_shards(spark, rows, monkeypatch):
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     monkeypatch.setattr(module, "SHARD", 7)
     assert set(rows(leaks(d, i))) == _brute(docs, items)
+
+
+def test_english_passage_in_a_bulgarian_text(spark, rows):
+    passage = "That is a test to see that THE court at a yet later date has to take a note"
+    around = "Съдът реши, че жалбата е допустима и я разглежда по същество. " * 5
+    swapped = passage.translate(str.maketrans("aeopcTHE", "аеорсТНЕ"))
+    data = [(1, around + passage + " " + around), (2, around + passage.upper() + " " + around), (3, around + swapped + " " + around), (4, around + swapped.upper()), (5, passage.upper()), (6, around), (7, around + passage.replace("note", "vote").replace("see", "be"))]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    items = spark.createDataFrame([(10, passage), (11, passage.upper()), (12, around[:300])], "item_id long, text string")
+    assert rows(leaks(docs, items)) == sorted([(d, i) for d in (1, 2, 3, 4, 5) for i in (10, 11)] + [(d, 12) for d in (1, 2, 3, 4, 6, 7)], key=lambda r: tuple(map(str, r)))
+
+
+def test_case_and_look_alikes_meet_but_other_letters_dont():
+    greek = "ΝΑ ΕΙΝΑΙ ΚΑΛΟ ΤΟ ΝΕΡΟ ΤΗΣ ΠΗΓΗΣ ΚΑΙ Η ΝΥΧΤΑ ΣΤΟ ΒΟΥΝΟ ΕΙΝΑΙ ΚΡΥΑ ΚΑΙ ΝΕΑ"
+    latin = "now the vest is by the door and no one can say if we may go in yet"
+    belarusian = "У лесе жыў воўк і быў ён шэры а воўк быў зноў каля ракі ў полі"
+    index = BlockMaxIndex([(1, greek.lower()), (2, latin), (3, belarusian)])
+    texts = [greek, latin.upper().replace("N", "Ν").replace("Y", "Υ"), latin.replace("now", "vow").replace("vest", "nest").replace("may", "mau").replace("by", "bu").replace("no ", "vo "), belarusian.replace("ў", "y̆"), belarusian.upper()]
+    assert index.search(texts) == [{0}, {1}, set(), {2}, {2}]

@@ -1,14 +1,16 @@
 """Definitions and calls of one file. Pure Python; run inside of workers.
 
-Python is read with the standard parser. Brace languages are read from a flat copy of the
+Python is read with the standard parser; where that finds an error, statement by statement,
+so that an error costs no more than its own statement. Brace languages are read from a flat copy of the
 text in which comments and literals are blanked: definitions are heads followed by a body,
-bodies end at the matching brace. A file that can't be read yields nothing.
+bodies end at the matching brace. A file that isn't UTF-8 text yields nothing.
 """
 
 from __future__ import annotations
 
 import ast
 import bisect
+import keyword
 import re
 from typing import NamedTuple
 
@@ -44,25 +46,167 @@ def _dotted(node: ast.expr) -> str | None:
     return parts[0] if parts else None
 
 
-def _python(text: str) -> tuple[list[Definition], list[Call]]:
-    found, calls = [], []
-    stack: list[tuple[ast.AST, str | None, str | None]] = [(ast.parse(text), None, None)]
+#: Nodes that hold no call.
+_LEAVES = frozenset((ast.Name, ast.Constant, ast.Load, ast.Store, ast.Del, ast.alias, *ast.operator.__subclasses__(), *ast.unaryop.__subclasses__(), *ast.cmpop.__subclasses__(), *ast.boolop.__subclasses__(), type(None), str, int))
+
+
+def _walk(tree: ast.AST, inside: str | None, caller: str | None, shift: int, found: list[Definition], calls: list[Call]) -> None:
+    """Adds what a tree within a class and a function has; ``shift`` is added to its lines."""
+    stack: list[tuple[ast.AST, str | None, str | None]] = [(tree, inside, caller)]
     while stack:
         node, inside, caller = stack.pop()
-        for child in ast.iter_child_nodes(node):
+        children = []
+        for field in node._fields:
+            value = getattr(node, field, None)
+            if value.__class__ is list:
+                children += value
+            else:
+                children.append(value)
+        for child in children:
+            if child.__class__ in _LEAVES or not isinstance(child, ast.AST):
+                continue
             cls, by = inside, caller
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                found.append(Definition(child.name, "method" if inside else "function", child.lineno, child.end_lineno, inside))
+                found.append(Definition(child.name, "method" if inside else "function", child.lineno + shift, child.end_lineno + shift, inside))
                 by = child.name
             elif isinstance(child, ast.ClassDef):
-                found.append(Definition(child.name, "class", child.lineno, child.end_lineno, None))
+                found.append(Definition(child.name, "class", child.lineno + shift, child.end_lineno + shift, None))
                 cls = child.name
             elif isinstance(child, ast.Call) and caller and (name := _dotted(child.func)):
-                calls.append(Call(caller, name, child.lineno))
+                calls.append(Call(caller, name, child.lineno + shift))
             stack.append((child, cls, by))
+
+
+_UNREAD = (SyntaxError, ValueError, RecursionError, MemoryError)
+
+
+def _python(text: str) -> tuple[list[Definition], list[Call]]:
+    found: list[Definition] = []
+    calls: list[Call] = []
+    try:
+        tree = ast.parse(text)
+    except _UNREAD:
+        _Statements(text, found, calls).read()
+    else:
+        _walk(tree, None, None, 0, found, calls)
     return found, calls
 
 
+_PY_QUIET = re.compile(r"""\#[^\n]*|\"\"\"(?:[^"\\]|\\[\s\S]|"(?!""))*\"\"\"|\'\'\'(?:[^'\\]|\\[\s\S]|'(?!''))*\'\'\'|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*'""")
+#: Words that start a statement and no line within brackets.
+_PY_STARTS = re.compile(r"\s*(?:(?:async\s+)?def|class|import|return|raise|while|try|with|del|global|assert|pass|break|continue|except|finally|elif)\b(?!\s*=)")
+_PY_CLAUSE = re.compile(r"\s*(?:else|elif|except|finally)\b")
+_PY_HEAD = re.compile(r"\s*(?:(?:async\s+)?def\s+(?P<f>[^\W\d]\w*)\s*(?:\[[^\]]*\]\s*)?\(|class\s+(?P<c>[^\W\d]\w*)\s*(?:[\[(:]|$))")
+_PY_CALL = re.compile(r"(\.\s*)?(?<!\w)([^\W\d]\w*(?:\s*\.\s*[^\W\d]\w*)*)\s*\(")
+
+
+class _Statements:
+    """Python text with errors. A statement that the standard parser reads is read by it; of one that it doesn't, the
+    head is read by its words and each statement of the body alone; a line that can't be read still has its calls."""
+
+    def __init__(self, text: str, found: list[Definition], calls: list[Call]):
+        self.text, self.found, self.calls = text.split("\n"), found, calls
+        self.flat = _PY_QUIET.sub(_blank, text).split("\n")
+        #: First and last physical line, and indentation, of each logical line.
+        self.lines: list[tuple[int, int, int]] = []
+        depth, goes_on = 0, False
+        for n, (raw, flat) in enumerate(zip(self.text, self.flat)):
+            if depth and flat.strip() and (_PY_STARTS.match(flat) or self._width(flat) < self.lines[-1][2] and flat.lstrip()[0] not in ")]}"):
+                depth = 0
+            if depth > 0 or goes_on:
+                self.lines[-1] = self.lines[-1][0], n, self.lines[-1][2]
+            elif raw.strip() and (flat.strip() or self._text_starts(raw, n)):
+                depth = 0
+                self.lines.append((n, n, self._width(raw)))
+            else:
+                if self.lines and raw.strip() and not raw.lstrip().startswith("#"):  # the rest of a text of several lines
+                    self.lines[-1] = self.lines[-1][0], n, self.lines[-1][2]
+                continue
+            depth = max(0, depth + sum(map(flat.count, "([{")) - sum(map(flat.count, ")]}")))
+            if self.lines[-1][0] == n and _PY_HEAD.match(flat) and flat.rstrip().endswith(":"):
+                depth = 0  # a head whose bracket isn't closed
+            goes_on = flat.endswith("\\")
+
+    @staticmethod
+    def _width(line: str) -> int:
+        return len(line[: len(line) - len(line.lstrip())].expandtabs(8))
+
+    def _text_starts(self, raw: str, n: int) -> bool:
+        """Whether a line that is blank without texts is a statement of its own: a text that starts on it."""
+        return re.match(r"\s*[rRbBuUfF]{0,2}[\"']", raw) is not None and raw != self.flat[n] and not self._inside_text(n)
+
+    def _inside_text(self, n: int) -> bool:
+        if not hasattr(self, "within"):
+            self.within, at = set(), 0
+            for m in _PY_QUIET.finditer("\n".join(self.text)):
+                if "\n" in m.group():
+                    first = m.string.count("\n", 0, m.start())
+                    self.within.update(range(first + 1, first + 1 + m.group().count("\n")))
+        return n in self.within
+
+    def read(self) -> None:
+        todo: list[tuple[int, int, str | None, str | None]] = [(0, len(self.lines), None, None)]
+        while todo:
+            a, b, inside, caller = todo.pop()
+            while a < b:
+                width, end = self.lines[a][2], a + 1
+                while end < b and self.lines[end][2] > width:
+                    end += 1
+                whole = end
+                while whole < b and self.lines[whole][2] == width and (_PY_CLAUSE.match(self.flat[self.lines[whole][0]]) or self.flat[self.lines[whole - 1][0]].lstrip().startswith("@") and self.lines[whole - 1][2] == width):
+                    whole += 1
+                    while whole < b and self.lines[whole][2] > width:
+                        whole += 1
+                if self._parsed(a, whole, inside, caller):
+                    a = whole
+                    continue
+                cls, by = self._head(a, end, inside, caller)
+                if end > a + 1:
+                    todo.append((a + 1, end, cls, by))
+                a = end
+
+    def _parsed(self, a: int, b: int, inside: str | None, caller: str | None) -> bool:
+        first, last = self.lines[a][0], self.lines[b - 1][1]
+        try:
+            tree = ast.parse("if 1:\n" * (self.lines[a][2] > 0) + "\n".join(self.text[first:last + 1]) + "\n")
+        except _UNREAD:
+            return False
+        _walk(tree, inside, caller, first - (self.lines[a][2] > 0), self.found, self.calls)
+        return True
+
+    def _head(self, a: int, end: int, inside: str | None, caller: str | None) -> tuple[str | None, str | None]:
+        """Reads one logical line by its words; the class and function that hold its body."""
+        first, last, _ = self.lines[a]
+        flat = "\n".join(self.flat[first:last + 1])
+        head = _PY_HEAD.match(flat)
+        named = -1
+        if head and (end > a + 1 or self._closed(flat, head.end() - 1)):
+            named = head.end() - 1
+            if name := head.group("f"):
+                self.found.append(Definition(name, "method" if inside else "function", first + 1, self.lines[end - 1][1] + 1, inside))
+            else:
+                self.found.append(Definition(head.group("c"), "class", first + 1, self.lines[end - 1][1] + 1, None))
+        by = head.group("f") if named >= 0 and head.group("f") else caller
+        for m in _PY_CALL.finditer(flat):
+            name = re.sub(r"\s+", "", m.group(2))
+            # what stands behind the head of a function on its own line is its body
+            holder = by if named >= 0 and m.start(2) > named else caller
+            if m.end() - 1 != named and holder and not keyword.iskeyword(name):
+                self.calls.append(Call(holder, name.rsplit(".", 1)[-1] if m.group(1) else name, first + 1 + flat.count("\n", 0, m.start(2))))
+        return (head.group("c") or inside, by) if named >= 0 else (inside, caller)
+
+    @staticmethod
+    def _closed(flat: str, at: int) -> bool:
+        """Whether the bracket of a head is closed, and a colon follows."""
+        depth = 0
+        for m in re.finditer(r"[()\[\]{}:]", flat[at:]):
+            x = m.group()
+            if x == ":" and not depth:
+                return True
+            depth += (x in "([{") - (x in ")]}")
+        return False
+
+
 _QUIET = {
     "c": re.compile(r"""//[^\n]*|/\*[\s\S]*?\*/|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|^[ \t]*\#(?:[^\n\\]|\\[\s\S])*""", re.M),
     "java": re.compile(r'''//[^\n]*|/\*[\s\S]*?\*/|"""[\s\S]*?"""|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*\''''),
@@ -160,7 +304,7 @@ def _braces(lang: str, text: str) -> tuple[list[Definition], list[Call]]:
 
 
 def extract(path: str, content: bytes | None) -> tuple[list[Definition], list[Call]]:
-    """What a file defines and calls, in order; nothing for unknown languages, other than UTF-8 text, and invalid Python."""
+    """What a file defines and calls, in order; nothing for unknown languages and other than UTF-8 text."""
     lang = language_of(path)
     if not lang or content is None:
         return [], []

@@ -29,6 +29,39 @@ def test_unreadable_files_give_nothing():
     assert extract("a.py", b"def f(:") == ([], []) and extract("a.py", b"\xff\xfe") == ([], []) and extract("a.txt", b"x") == ([], []) and extract("a.py", None) == ([], [])
 
 
+BROKEN = """import os
+class A(B):
+    x = [1, 2
+    def m(self):
+        print "text", f(1)
+        return g(self)
+    def n(self)
+        if h(x) then:
+            k.run()
+        s = '''def no():
+  pass'''
+
+<<<<<<< HEAD
+def open_(a, b=0:
+    return a.b(c)[0].d()
+=======
+@deco
+def after(a):
+    def inner():
+        return z()
+    return inner
+>>>>>>> x
+"""
+
+
+def test_python_with_errors_keeps_what_stands_around_them():
+    found, calls = extract("a.py", BROKEN.encode())
+    assert {tuple(d) for d in found} == {("A", "class", 2, 11, None), ("m", "method", 4, 6, "A"), ("n", "method", 7, 11, "A"), ("open_", "function", 14, 15, None), ("after", "function", 18, 21, None), ("inner", "function", 19, 20, None)}
+    assert {tuple(c) for c in calls} == {("m", "f", 5), ("m", "g", 6), ("n", "h", 8), ("n", "k.run", 9), ("open_", "a.b", 15), ("open_", "d", 15), ("inner", "z", 20)}
+    text = SOURCES["a.py"][0]
+    assert extract("a.py", (text + "x = = 1\n").encode()) == extract("a.py", text.encode())
+
+
 def test_tracking(spark):
     cases = {"src/a.py": True, "build/a.py": False, "README.md": False, "Makefile": True, "x/go.sum": False, "a/__init__.py": True, ".gitignore": True, "x.min.js": False, "a.PY": True, "noext": False, "vendor/x.go": False, "x/.eslintrc.json": True}
     df = spark.createDataFrame([(p,) for p in cases], "path string")

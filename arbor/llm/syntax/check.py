@@ -39,15 +39,13 @@ def syntax_errors(lang: str, text: str, positions: bool = True) -> list[tuple[in
     if sys.getrecursionlimit() < DEPTH:
         sys.setrecursionlimit(DEPTH)
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    kept = None
     try:
         if lang == "python":
             lexer = PyParser.LEX
             found = PyParser(*PyParser.split(text)).run()
         elif lang == "c":
             lexer = CParser.LEX
-            shape, kept = CParser.prepare(lexer.shape(text))
-            found = CParser(shape).run()
+            found = CParser.check(lexer.shape(text))
         else:
             lexer = _BRACES[lang].LEX
             found = _BRACES[lang](lexer.shape(text)).run()
@@ -59,7 +57,5 @@ def syntax_errors(lang: str, text: str, positions: bool = True) -> list[tuple[in
     if lang == "javascript":  # positions don't count line ends
         raw = lexer.shape(text)
         at = [x for x, k in zip(at, raw) if lexer.names[k] != "NL"]
-    if kept is not None:
-        at = [at[n] for n in kept]
     starts = [0] + [n + 1 for n, ch in enumerate(text) if ch == "\n"]
     return [(bisect.bisect_right(starts, at[p]) if p < len(at) else len(starts), why) for p, why in found]

@@ -10,6 +10,11 @@ from .base import Lexer, Parser
 _MACRO = re.compile(r"_*[A-Z][A-Z0-9_]+|__\w+")
 _DIRECTIVE = re.compile(r"#\s*(include|define|undef|ifdef|ifndef|if|elifdef|elifndef|elif|else|endif|error|warning|pragma|line|ident|import|\d|$)", re.M)
 
+#: Conditions that never hold in C; those of C++; those that hold in C only.
+_NEVER = re.compile(r"#\s*(?:el)?if\s+\(?\s*0\s*\)?\s*(?:$|/[/*])")
+_CPP = re.compile(r"#\s*(?:(?:el)?ifdef\s+|(?:el)?if\s+\(?\s*(?:defined\b[\s(]*)?)__cplusplus\b")
+_NOT_CPP = re.compile(r"#\s*(?:ifndef\s+|if\s+!\s*defined\b[\s(]*)__cplusplus\b")
+
 
 class CLexer(Lexer):
     def kind(self, t: str) -> str:
@@ -19,8 +24,10 @@ class CLexer(Lexer):
                 return self.code["BAD"]
             word = m.group(1)
             if word.startswith("if"):
-                return self.code["#if0" if re.match(r"#\s*(if\s+0\b|ifdef\s+__cplusplus)", t) else "#if"]
-            return self.code["#else"] if word.startswith("el") else self.code["#endif"] if word == "endif" else ""
+                return self.code["#if0" if _NEVER.match(t) else "#ifc++" if _CPP.match(t) else "#ifc" if _NOT_CPP.match(t) else "#if"]
+            if word.startswith("elif"):
+                return self.code["#elif0" if _NEVER.match(t) else "#elifc++" if _CPP.match(t) else "#elif"]
+            return self.code["#else"] if word == "else" else self.code["#endif"] if word == "endif" else ""
         if len(t) > 2 and t[0] in "LuU" and t[-1] in "\"'":
             return self.code["STR" if t[-1] == '"' else "CHR"]
         k = super().kind(t)
@@ -40,7 +47,7 @@ _NAMES = frozenset(("ID", "*"))
 class CParser(Parser):
     LEX = CLexer(
         r"""//(?:[^\n\\]|\\[\s\S])*|/\*[\s\S]*?\*/|/\*|\#(?:[^\n\\/]|\\\r?\n|\\.|/(?![*/])|/\*[\s\S]*?\*/)*|(?:u8|[LuU])?"(?:[^"\\\n]|\\[\s\S])*"|[LuU]?'(?:[^'\\\n]|\\.)+'|0[xX][\w.']*(?:(?<=[pP])[+-]\w+)?|\.?\d(?:[eE][+-]|[\w.]|'(?=\w))*""",
-        " ".join(sorted(_STARTS)) + " MACRO if else while for do switch case default break continue return goto sizeof _Alignof asm __asm__ _Generic #if #if0 #else #endif",
+        " ".join(sorted(_STARTS)) + " MACRO if else while for do switch case default break continue return goto sizeof _Alignof asm __asm__ _Generic #if #if0 #ifc++ #ifc #elif #elif0 #elifc++ #else #endif /*",
         "{ } ( ) [ ] ; , . -> ... = == != < > <= >= + - * / % & | ^ ~ ! && || << >> ++ -- += -= *= /= %= &= |= ^= <<= >>= ? :",
         r"(?:0[xX][\da-fA-F']*\.?[\da-fA-F']*(?:[pP][+-]?\d+)?|0[bB][01']+|[\d']+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)[uUlLfFzZ]*",
         ident=r"[^\W\d][\w$]*",
@@ -50,7 +57,7 @@ class CParser(Parser):
 
     def __init__(self, shape: str):
         super().__init__(shape)
-        self.macro, self.t = self.t, ["ID" if x == "MACRO" else x for x in self.t]
+        self.macro, self.t = self.t, ["ID" if x == "MACRO" else "BAD" if x == "/*" else x for x in self.t]
 
     def skip_macro(self, follow: frozenset[str]) -> bool:
         """Passes a macro, with its arguments, if one of ``follow`` comes behind it."""
@@ -66,29 +73,81 @@ class CParser(Parser):
         return False
 
     @classmethod
-    def prepare(cls, shape: str) -> tuple[str, list[int] | None]:
-        """Without the branches that aren't compiled; where kept tokens were, if some weren't."""
-        c = cls.LEX.code
-        if not any(c[x] in shape for x in ("#if", "#if0", "#else", "#endif")):
-            return shape, None
-        kept, stack = [], []
+    def check(cls, shape: str) -> list[tuple[int, str]]:
+        """The errors of a file, with places in ``shape``. Branches are read in passes, the n-th takes the n-th branch of
+        each #if, or the first where it has fewer. Of the passes behind the first, errors in or right behind such a branch
+        count. C++ is read as tokens and brackets; of what '#if 0' takes out, compilers read comments alone."""
+        names = cls.LEX.names
+        if not any(names[x][0] == "#" for x in set(shape)):
+            return cls(shape).run()
+        errors: list[tuple[int, str]] = []
+        #: per branch: its '#if', its number there (-1 is never compiled, -2 is C++), the branch around it
+        branches: list[tuple[int, int, int]] = [(-1, 0, -1)]
+        inside: list[int] = []
+        opened: list[list] = []  # place, branches to compile so far, whether '#else' came, whether in C only, branch around
+        now = 0
         for n, x in enumerate(shape):
-            name = cls.LEX.names[x]
-            if name in ("#if", "#if0"):
-                stack.append([name == "#if", name == "#if"])
-            elif name == "#else":
-                if stack:
-                    stack[-1] = [not stack[-1][1], True]
-                else:
-                    kept.append(n)
-            elif name == "#endif":
-                if stack:
-                    stack.pop()
-                else:
-                    kept.append(n)
-            elif all(s[0] for s in stack):
-                kept.append(n)
-        return "".join(shape[n] for n in kept), kept
+            name = names[x]
+            if name[0] != "#":
+                inside.append(now)
+                continue
+            inside.append(-1)
+            if name.startswith("#if"):
+                opened.append([n, 0, False, name == "#ifc", now])
+            elif not opened:
+                errors.append((n, f"'{name.rstrip('0c+')}' without its partner"))
+                continue
+            top = opened[-1]
+            if name == "#endif":
+                now = opened.pop()[4]
+                continue
+            if name.startswith("#el"):
+                if top[2]:
+                    errors.append((n, f"'{name.rstrip('0c+')}' behind '#else'"))
+                top[2] = name == "#else"
+            kind = -1 if name.endswith("0") else -2 if name.endswith("c++") or top[3] and name.startswith("#el") else top[1]
+            top[1] += kind >= 0
+            branches.append((top[0], kind, top[4]))
+            now = len(branches) - 1
+        errors += [(top[0], "unterminated #if") for top in opened]
+        count: dict[int, int] = {}
+        for group, kind, _ in branches:
+            count[group] = max(count.get(group, 0), kind + 1)
+        for turn in range(max(count.values())):
+            taken, other = [], []
+            for group, kind, around in branches:
+                chosen = kind >= 0 and kind == (turn if turn < count[group] else 0)
+                taken.append(chosen and (around < 0 or taken[around]))
+                other.append(taken[-1] and (kind > 0 or around >= 0 and other[around]))
+            kept = [n for n, b in enumerate(inside) if b >= 0 and taken[b]]
+            for p, why in cls("".join(shape[n] for n in kept)).run():
+                near = [inside[n] for n in kept[max(p - 1, 0):p + 1]]
+                if not turn or any(other[b] for b in near):
+                    errors.append((kept[p] if p < len(kept) else len(shape), why))
+        errors += cls.set_aside(shape, inside, branches)
+        return sorted({at: (at, why) for at, why in reversed(errors)}.values())
+
+    @classmethod
+    def set_aside(cls, shape: str, inside: list[int], branches: list[tuple[int, int, int]]) -> list[tuple[int, str]]:
+        """Errors of the branches that aren't compiled as C."""
+        names, errors, kinds = cls.LEX.names, [], []
+        for _, kind, around in branches:
+            above = kinds[around] if around >= 0 else 0
+            kinds.append(above if above == -1 or above and kind >= 0 else kind if kind < 0 else 0)
+        stacks: dict[int, list[str]] = {}
+        for n, b in enumerate(inside):
+            if b < 0 or not kinds[b]:
+                continue
+            name = names[shape[n]]
+            if name in ("<<", "==", ">>") and n + 3 < len(shape) and {shape[n + 1], shape[n + 2]} == {shape[n]} and names[shape[n + 3]] == name[0] and (not n or shape[n - 1] != shape[n]):
+                errors.append((n, "a conflict marker"))
+            elif name == "/*" or kinds[b] == -2 and name == "BAD":
+                errors.append((n, "unterminated text or unknown character"))
+            elif kinds[b] == -2 and name in "([{":
+                stacks.setdefault(b, []).append(name)
+            elif kinds[b] == -2 and name in ")]}" and stacks.get(b) and stacks[b].pop() + name not in ("()", "[]", "{}"):
+                errors.append((n, f"found '{name}'"))
+        return errors
 
     def unary(self) -> str:
         t, x = self.t, self.t[self.p]

@@ -80,3 +80,15 @@ def test_tables(spark, rows):
     report = {r.path: r for r in parse_report(files).collect()}
     assert report["r/b.py"].n_errors == 1 and report["q/a.c"].first_line == 1 and report["q/long.js"].accepted
     assert rows(invalid_files(files.limit(0))) == []
+
+
+def test_every_branch_of_c_is_read():
+    guard = "#ifndef A_H\n#define A_H\n%s\n#endif\n"
+    valid = [guard % "#ifdef A\nint f(int a) {\n#elif B\nint f(long a) {\n#else\nint f(void) {\n#endif\nreturn 1; }", guard % "#ifdef __cplusplus\nextern \"C\" {\n#endif\nint f(void);\n#if defined(__cplusplus)\n}\n#endif",
+             "#if 0\nit doesn't ( compile\n#endif\nint x;", "#ifndef __cplusplus\ntypedef int b;\n#else\nclass A { public: A(); };\n#endif\n", "void f(void) {\n#if A\nif (x) {\n#else\n#endif\ny();\n#if A\n}\n#endif\n}\n"]
+    invalid = [("#ifndef A_H\n#define A_H\nint f(void);\n", 1), ("int a;\n#if 0\nint b = ;\n", 2), ("int a;\n#ifdef __cplusplus\nint b;\n", 2), (guard % "#if A\nint a;\n#else\nint a = ;\n#endif", 6), (guard % "#if A\nint a;\n#elif B\nint b;\n#else\nint c = (1\n#endif\n;", 10),
+               ("#if 0\n<<<<<<< HEAD\n#endif\nint x;", 2), ("#ifdef __cplusplus\nf(a];\n#endif\nint x;", 2), ("int a;\n#endif\n", 2), ("#if A\n#else\n#else\n#endif\n", 3), ("#if 1\nint a;\n#else\n=======\n#endif\n", 4)]
+    for text in valid:
+        assert syntax_errors("c", text) == [], text
+    for text, line in invalid:
+        assert [n for n, _ in syntax_errors("c", text)][:1] == [line], (text, syntax_errors("c", text))

@@ -37,25 +37,28 @@ class SnapshotIndex:
     def __init__(self, spark, buckets: int = BUCKETS):
         self.spark, self.buckets, self.table = spark, buckets, None
 
-    def _write(self, rows: DataFrame) -> str:
+    def _write(self, rows: DataFrame, path: str | None) -> str:
         name = f"arbor_snapshot_{uuid.uuid4().hex}"
         (rows.write.bucketBy(self.buckets, "path").sortBy("path").format("parquet")
-             .option("path", scratch_path(self.spark, "snapshot-index")).saveAsTable(name))
+             .option("path", path or scratch_path(self.spark, "snapshot-index")).saveAsTable(name))
         return name
 
     def advance(self, snapshot: DataFrame) -> DataFrame | None:
         """Takes (path, hash, is_file), one row per path; the changes (path, status), or None for
         the first snapshot. The index is swapped."""
+        old = None if self.table is None else self.spark.table(self.table)
+        self.table, changes = self.compare(old, snapshot)
+        return changes
+
+    def compare(self, old: DataFrame | None, snapshot: DataFrame, path: str | None = None) -> tuple[str, DataFrame | None]:
+        """The table of the snapshot's index, written to ``path``, and its changes against the index rows ``old``; nothing is swapped."""
         digest = F.md5(F.concat_ws("|", F.coalesce("hash", F.lit("?")), F.coalesce(F.col("is_file").cast("string"), F.lit("?"))))
-        fresh = self._write(snapshot.select("path", digest.alias("digest")).repartition(self.buckets, "path"))
-        old, self.table = self.table, fresh
+        fresh = self._write(snapshot.select("path", digest.alias("digest")).repartition(self.buckets, "path"), path)
         if old is None:
-            return None
-        was = self.spark.table(old).withColumnRenamed("digest", "was")
-        now = self.spark.table(fresh)
-        both = was.join(now, "path", "full_outer")
+            return fresh, None
+        both = old.withColumnRenamed("digest", "was").join(self.spark.table(fresh), "path", "full_outer")
         status = F.when(F.col("was").isNull(), "added").when(F.col("digest").isNull(), "deleted").when(F.col("was") != F.col("digest"), "modified")
-        return both.select("path", status.alias("status")).where("status is not null")
+        return fresh, both.select("path", status.alias("status")).where("status is not null")
 
 
 def snapshot_changes(nodes: DataFrame) -> DataFrame:

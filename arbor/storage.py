@@ -47,6 +47,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where there is no folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in files.listStatus(target)] if files.exists(target) else []
+
+
 def release_scratch(spark: SparkSession) -> None:
     """Deletes all intermediate tables of this application; results that weren't written yet can't be computed afterwards."""
     drop_path(spark, f"{shared_dir(spark)}/arbor/{spark.sparkContext.applicationId}")

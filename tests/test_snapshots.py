@@ -62,3 +62,25 @@ def test_stream_equals_batch(spark, tmp_path, rows):
     query.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).select("snapshot_id", "path", "status")
     assert rows(got) == rows(snapshots.snapshot_changes(nodes))
+
+
+def test_stream_goes_on_after_a_restart_and_a_repeated_batch(spark, tmp_path, rows):
+    from arbor.streaming.snapshots import follow
+
+    (tmp_path / "in").mkdir()
+    nodes = _nodes(spark, [c for c in CASES if c[0] is not None])
+    stream = spark.readStream.schema(nodes.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def run(*ids):
+        for s in ids:
+            nodes.where(f"snapshot_id = {s}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        follow(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
+        return rows(spark.read.parquet(str(tmp_path / "out")).select("snapshot_id", "path", "status"))
+
+    run(1, 2)
+    whole = rows(snapshots.snapshot_changes(nodes))
+    assert run(4) == whole
+    last = max((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()  # as if the run had ended before the batch was noted
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    assert run() == whole

@@ -6,11 +6,13 @@ import re
 
 from .base import Lexer, Parser
 
-_NO_REGEX_AFTER = frozenset(("ID", "NUM", "STR", "CHR", "TPL", ")", "]", "}", "this", "super", "null", "true", "false", "++", "--"))
+_NO_REGEX_AFTER = frozenset(("ID", "NUM", "STR", "CHR", "TPL", "}`", ")", "]", "}", "this", "super", "null", "true", "false", "++", "--"))
 _WORDS = frozenset("var let const function class if else for while do switch case default break continue return throw try catch finally new delete typeof void in instanceof this super null true false import export extends debugger with enum yield await async static get set of".split())
 #: Words that are names unless the grammar wants them.
 _SOFT = frozenset("let yield await async static get set of".split())
-_TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|\{(?:[^{}`]|\{[^{}]*\})*\}|`(?:[^`\\]|\\[\s\S])*`)*\})*`"
+#: A template without holes, or up to its first one; what stands behind a hole.
+_TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(?:`|\$\{)"
+_BEHIND_HOLE = re.compile(r"\}(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)")
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[A-Za-z]*")
 
 
@@ -18,23 +20,38 @@ class JsLexer(Lexer):
     def kind(self, t: str) -> str:
         if t[:2] == "#!":
             return ""
-        return self.code["TPL"] if t[0] == "`" and len(t) > 1 else super().kind(t)
+        if t[0] == "`" and len(t) > 1:
+            return self.code["TPL" if t[-1] == "`" else "`${"]
+        return super().kind(t)
 
     def shape(self, text: str) -> str:
         tokens = self.pattern.findall(text)
-        if "/" in tokens or "/=" in tokens:
+        if "/" in tokens or "/=" in tokens or "${" in text:
             return "".join(k for k, _ in self.slow(text))
         return super().shape(text)
 
     def slow(self, text: str):
-        """(kind, offset) token by token: '/' starts a regular expression where an operand is due."""
+        """(kind, offset) token by token: '/' starts a regular expression where an operand is due, and the '}' of a
+        template's hole goes on with the template."""
         at, last = 0, ""
+        holes: list[int] = []  # per open hole, the braces open in it
         while m := self.pattern.match(text, at):
             token, start = m.group(1), m.start(1)
             if token in ("/", "/=") and last not in _NO_REGEX_AFTER and (r := _REGEX.match(text, start)):
                 at, kind = r.end(), self.code["STR"]
+            elif token == "}" and holes and not holes[-1]:
+                if r := _BEHIND_HOLE.match(text, start):
+                    at, kind = r.end(), self.code["}`" if r.group(1) == "`" else "}${"]
+                else:
+                    at, kind = m.end(), self.code["BAD"]
+                if kind != self.code["}${"]:
+                    holes.pop()
             else:
                 at, kind = m.end(), self[token]
+                if kind == self.code["`${"]:
+                    holes.append(0)
+                elif holes and token in ("{", "}"):
+                    holes[-1] += 1 if token == "{" else -1
             for k in kind:
                 yield k, start
                 if self.names[k] != "NL":
@@ -47,7 +64,7 @@ class JsLexer(Lexer):
 class JsParser(Parser):
     LEX = JsLexer(
         r"//[^\n]*|/\*[\s\S]*?\*/|/\*|\n|\?(?=\.\d)|\A\#![^\n]*|\"(?:[^\"\\\n]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*'|" + _TEMPLATE + r"|0[xXbBoO][\w]*|\.?\d(?:[eE][+-]|\w|\.(?!\.))*",
-        "TPL " + " ".join(sorted(_WORDS)),
+        "TPL `${ }${ }` " + " ".join(sorted(_WORDS)),
         "{ } ( ) [ ] ; , . ... ?. ? : => = == === != !== < > <= >= + - * / % ** & | ^ ~ ! && || ?? << >> >>> ++ -- += -= *= /= %= **= &= |= ^= <<= >>= >>>= &&= ||= ??= @",
         r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|\d[\d_]*)n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?",
         ident=r"\#?(?:[^\W\d]|\$|\\u[\da-fA-F]{4})(?:[\w$‌‍]|\\u[\da-fA-F]{4})*",
@@ -231,6 +248,9 @@ class JsParser(Parser):
         if x in ("NUM", "STR", "CHR", "TPL", "this", "null", "true", "false"):
             self.p += 1
             return "r"
+        if x == "`${":
+            self.template()
+            return "r"
         if x == "async" and t[self.p + 1] == "function":
             self.p += 1
             self.function(False, "a")
@@ -279,6 +299,16 @@ class JsParser(Parser):
             return "r"
         self.fail("expected an expression")
 
+    def template(self) -> None:
+        """A template with holes, each an expression."""
+        kept, self.no_in = self.no_in, False
+        self.p += 1
+        self.expression()
+        while self.eat("}${"):
+            self.expression()
+        self.need("}`")
+        self.no_in = kept
+
     def array(self) -> str:
         self.p += 1
         while not self.eat("]"):
@@ -422,6 +452,9 @@ class JsParser(Parser):
             elif x == "TPL":
                 self.p += 1
                 kind = "r"
+            elif x == "`${":
+                self.template()
+                kind = "r"
             else:
                 return kind
 

@@ -8,9 +8,16 @@ from .base import MEMO, Bad, Lexer, Parser
 
 _WORDS = frozenset("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split())
 _PREFIX = r"(?:[rR][bBfFtT]?|[bBfFtT][rR]?|[uU])?"
-#: Formatted strings may hold their own quotes inside of braces.
-_FIELD = r"\{(?:[^{}\n]|\{[^{}\n]*\})*\}"
-_FSTRING = r"(?:[rR]?[fFtT]|[fFtT][rR])(?:\"(?!\"\")(?:[^\"\\\n{]|\\.|\{\{|" + _FIELD + r")*\"|'(?!'')(?:[^'\\\n{]|\\.|\{\{|" + _FIELD + r")*')"
+#: Where a string with fields starts, and what is read of it up to a brace, its end or an error.
+_FPREFIX = r"(?:[rR]?[fFtT]|[fFtT][rR])"
+_FSTART = _FPREFIX + r"(?:\"\"\"|'''|\"|')"
+_FIELDS = re.compile("(" + _FPREFIX + r")(\"\"\"|'''|\"|')")
+_PART = {
+    "'": re.compile(r"(?:[^'\\\n{}]|\\(?:N\{[^{}'\n]*\}|[^{}])|\\(?=[{}]))*"), '"': re.compile(r'(?:[^"\\\n{}]|\\(?:N\{[^{}"\n]*\}|[^{}])|\\(?=[{}]))*'),
+    "'''": re.compile(r"(?:[^'\\{}]|'(?!'')|\\(?:N\{[^{}]*\}|[^{}])|\\(?=[{}]))*"), '"""': re.compile(r'(?:[^"\\{}]|"(?!"")|\\(?:N\{[^{}]*\}|[^{}])|\\(?=[{}]))*'),
+}
+#: To the end of a string that can't be read.
+_TO_END = {q: re.compile(r"(?:[^%s\\\n]|\\[\s\S])*%s" % (q, q) if len(q) == 1 else r"[\s\S]*?" + q) for q in _PART}
 _CLAUSES = {"else": ("if", "elif", "for", "while", "try", "except"), "elif": ("if", "elif"), "except": ("try", "except"), "finally": ("try", "except", "else")}
 
 
@@ -29,13 +36,93 @@ class PyLexer(Lexer):
             return c["BAD"]
         return super().kind(t)
 
+    def pieces(self, text: str) -> list[tuple[str, int, str]]:
+        """(token, place, kinds) of each token. A string with fields is one token, its kinds hold those of its fields."""
+        out, at = [], 0
+        while m := self.pattern.match(text, at):
+            token, start, at = m.group(1), m.start(1), m.end()
+            if _FIELDS.fullmatch(token):
+                at, kinds = self.fields(text, start)
+                token = text[start:at]
+            else:
+                kinds = self[token]
+            out.append((token, start, kinds))
+        return out
+
+    def fields(self, text: str, start: int) -> tuple[int, str]:
+        """The end and the kinds of the string with fields at ``start``."""
+        head = _FIELDS.match(text, start)
+        quote = head.group(2)
+        end, kinds = self.literal(text, head.end(), quote, False)
+        if end >= 0 and text.startswith(quote, end):
+            return end + len(quote), self.code["STR"] + kinds
+        return (m.end() if (m := _TO_END[quote].match(text, head.end())) else head.end()), self.code["BAD"]
+
+    def literal(self, text: str, at: int, quote: str, spec: bool) -> tuple[int, str]:
+        """Up to the closing quote, or to the '}' behind a format: where that stands, -1 for an error, and the fields' kinds."""
+        kinds = ""
+        while True:
+            at = _PART[quote].match(text, at).end()
+            x = text[at:at + 1]
+            if not spec and text[at:at + 2] in ("{{", "}}"):
+                at += 2
+            elif x == "{":
+                at, own = self.field(text, at + 1, quote)
+                if at < 0:
+                    return -1, ""
+                kinds += own
+            elif x == "}" and not spec or x in ("", "\\") or x == "\n" and len(quote) == 1:
+                return -1, ""
+            else:
+                return at, kinds
+
+    def field(self, text: str, at: int, quote: str) -> tuple[int, str]:
+        """The place behind the field that starts at ``at``, -1 for an error, and its kinds."""
+        kinds, opened, c = self.code["f{"], [], self.code
+        while m := self.pattern.match(text, at):
+            token, start, at = m.group(1), m.start(1), m.end()
+            if _FIELDS.fullmatch(token):
+                at, own = self.fields(text, start)
+                kinds += own
+                continue
+            if not opened and token in ("}", ":", "!", ":="):
+                break
+            if not opened and token == "=" and re.compile(r"\s*[}:!]").match(text, at):
+                continue
+            if token in ("(", "[", "{"):
+                opened.append(token)
+            elif token in (")", "]", "}") and (not opened or opened.pop() + token not in ("()", "[]", "{}")):
+                return -1, ""
+            if token != "\n":
+                kinds += self[token]
+        else:
+            return -1, ""
+        kinds += c["f}"]
+        if token == "!":
+            name = re.compile(r"\s*[rsa]\s*(?=[:}])").match(text, at)
+            if not name:
+                return -1, ""
+            token, at = text[name.end()], name.end() + 1
+        if token in (":", ":="):
+            end, own = self.literal(text, at - (token == ":="), quote, True)
+            if end < 0 or text[end] != "}":
+                return -1, ""
+            return end + 1, kinds + own
+        return at, kinds
+
+    def shape(self, text: str) -> str:
+        return "".join(kinds for _, _, kinds in self.pieces(text)) if _FIELDS.search(text) else super().shape(text)
+
+    def offsets(self, text: str) -> list[int]:
+        return [at for _, at, kinds in self.pieces(text) for _ in kinds]
+
 
 class LineParser(Parser):
     """The grammar of one logical line."""
 
     LEX = PyLexer(
-        r"\#[^\n]*|\\\r?\n|\n|" + _FSTRING + "|" + _PREFIX + r"(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"\"\"|'''|\"(?:[^\"\\\n]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*')|0[xXbBoO]\w*|\.?\d(?:[eE][+-](?=\d)|\w|\.(?!\.))*",
-        "match case type " + " ".join(sorted(_WORDS)),
+        r"\#[^\n]*|\\\r?\n|\n|" + _FSTART + "|" + _PREFIX + r"(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"\"\"|'''|\"(?:[^\"\\\n]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*')|0[xXbBoO]\w*|\.?\d(?:[eE][+-](?=\d)|\w|\.(?!\.))*",
+        "f{ f} match case type " + " ".join(sorted(_WORDS)),
         "{ } ( ) [ ] ; , . ... : := = == != < > <= >= + - * / // % ** & | ^ ~ << >> @ -> += -= *= /= //= %= **= &= |= ^= <<= >>= @= !",
         r"(?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:0(?:_?0)*|[1-9](?:_?\d)*)|(?:\d(?:_?\d)*)?\.\d(?:_?\d)*(?:[eE][+-]?\d+)?|\d(?:_?\d)*\.(?:[eE][+-]?\d+)?|\d(?:_?\d)*[eE][+-]?\d(?:_?\d)*|\d(?:_?\d)*(?=[jJ]))[jJ]?)",
         newline=True,
@@ -94,8 +181,10 @@ class LineParser(Parser):
             self.p += 1
             return "r"
         if x == "STR":
-            while t[self.p] == "STR":
-                self.p += 1
+            while self.eat("STR"):
+                while self.eat("f{"):
+                    self.value()
+                    self.need("f}")
             return "r"
         if x == "(":
             self.p += 1
@@ -289,7 +378,7 @@ class LineParser(Parser):
         ok = kind in "nlt"
         while self.eat(","):
             many = True
-            if self.t[self.p] in ("EOF", ";", "=", ":", ")", "]"):
+            if self.t[self.p] in ("EOF", ";", "=", ":", ")", "]", "f}"):
                 break
             ok = self.named_star() in "nlt" and ok
         if starred and not many and self.t[self.p] != "=":
@@ -338,7 +427,7 @@ class LineParser(Parser):
         self.p += 1
         if self.eat("from"):
             self.test()
-        elif self.t[self.p] not in (")", "EOF", ";", "]", "}"):
+        elif self.t[self.p] not in (")", "EOF", ";", "]", "}", "f}"):
             self.star_list()
 
     # simple statements
@@ -620,11 +709,12 @@ class PyParser:
     @staticmethod
     def split(text: str) -> tuple[str, list[tuple[int, int]]]:
         """The shape, and the indentation of each line that starts outside of a string."""
-        tokens = _LEX.pattern.findall(text)
-        shape = "".join(map(_LEX.__getitem__, tokens))
+        pieces = _LEX.pieces(text) if _FIELDS.search(text) else None
+        tokens = [t for t, _, _ in pieces] if pieces else _LEX.pattern.findall(text)
+        shape = "".join([kinds for _, _, kinds in pieces] if pieces else map(_LEX.__getitem__, tokens))
         starts, at = [], 0
         if any("\n" in t for t in tokens if len(t) > 1):
-            starts = [0] + [m.end() for m in _LEX.pattern.finditer(text) if m.group(1) == "\n"]
+            starts = [0] + ([at + 1 for t, at, _ in pieces if t == "\n"] if pieces else [m.end() for m in _LEX.pattern.finditer(text) if m.group(1) == "\n"])
             heads = [PyParser.indent.match(text, s).group() for s in starts]
         else:
             heads = [x[: len(x) - len(x.lstrip(" \t\f"))] for x in text.split("\n")]

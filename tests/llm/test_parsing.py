@@ -92,3 +92,22 @@ def test_every_branch_of_c_is_read():
         assert syntax_errors("c", text) == [], text
     for text, line in invalid:
         assert [n for n, _ in syntax_errors("c", text)][:1] == [line], (text, syntax_errors("c", text))
+
+
+def test_holes_of_strings_are_parsed():
+    deep = "x"
+    for _ in range(6):
+        deep = "`a${{b: {c: " + deep + "}}}d`"
+    for text in ["x = " + deep, "`${a}${function () { return {b: `}`} }()}` / 2", "t`${a in b}` + `\\${` + `$` + `$${1}`", "`a\n${\nb\n}\n`\nc"]:
+        assert syntax_errors("javascript", text) == [], text
+    for text in ["`${a +}`", "`${}`", "`${a`", "`${a b}`", "`${`${a +}`}`", "`${a} b", "`${{a}`"]:
+        assert syntax_errors("javascript", text), text
+    valid = ["f'{x!r:>{w}.{p}}' f\"{y=}{y = !s}\" '{'", "f'{a[\"b\"]:%Y-%m}' + rf'\\d{x}{{}}'", "f'''{\n  x\n}\n{y:{z}}'''\nz = 1", "f'{f\"{f'{1 + 1}'}\"}'", "f'{(lambda x: x)(1)} {*a, b} \\N{EM DASH} {x:=5} {a != b} {d[1:2]}'", "f'{ {1: 2}[1] }'", "def f():\n    return f'{(yield)}'", "f'{x}' 'y' f''", "f'{x,}{(yield)}'"]
+    invalid = ["f'{x +}'", "f'{}'", "f\"{x\"", "f'{x!z}'", "f'}'", "f'{(x}'", "f'{a b}'", "f'{f\"{x +}\"}'", "f'{x:{y +}}'", "f'''{x\n'''\n", "f'{x = y}'"]
+    for text in valid + invalid:
+        try:
+            ast.parse(text)
+            ok = True
+        except SyntaxError:
+            ok = False
+        assert ok == (text in valid) == (not syntax_errors("python", text)), (text, ok, syntax_errors("python", text))

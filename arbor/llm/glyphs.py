@@ -81,6 +81,8 @@ def _char_class(codes) -> str:
 _SPECIAL = re.compile(_char_class(_PLAIN))
 _NON_LATIN = re.compile("[\\u0370-\\u052f]")
 _NOT_CYRILLIC = re.compile("[A-Za-z\\u00c0-\\u024f\\u0370-\\u03ff]")
+#: Letters that the usual Cyrillic alphabet lacks and that have a look-alike: a spelling may replace them.
+_UNUSUAL = re.compile("[" + "".join(x for x in _TWIN if not "А" <= x <= "я") + "]")
 _TOKEN = re.compile("[^\\W\\d_][\\w\\u0300-\\u036f]*")
 
 
@@ -155,7 +157,7 @@ def canonical(text: str) -> str:
         return text if text.isascii() else unicodedata.normalize("NFC", text)
     apart = unicodedata.normalize("NFD", text)
     dominant = _dominant(apart)
-    if dominant == CYRILLIC and not _NOT_CYRILLIC.search(apart):
+    if dominant == CYRILLIC and not _NOT_CYRILLIC.search(apart) and not _UNUSUAL.search(apart):
         return unicodedata.normalize("NFC", text)
     return unicodedata.normalize("NFC", _TOKEN.sub(lambda m: _spell(m.group(), dominant), apart))
 

@@ -54,3 +54,8 @@ def test_pairs(spark, rows):
     out = {r.doc_id: r for r in normalized(docs).collect() if r.doc_id}
     assert out[2].text_norm == "Same text" and out[4].text_norm is None and out[5].text_norm == "" and out[2].n_special == 1
     assert rows(visual_pairs(docs.limit(0))) == [] and normalized(docs).count() == len(data)
+
+
+def test_cyrillic_text_with_letters_outside_of_the_usual_alphabet():
+    for a, b in (("Георги II реши", "Георги ІІ реши"), ("Съдът Јs реши", "Съдът Јѕ реши")):
+        assert a != b and canonical(a) == canonical(b)

@@ -221,8 +221,10 @@ class Parser:
             if what is None:
                 if self.remembered():
                     return
+                known = len(self.errors)
                 self.statement()
-                self.note(i)
+                if len(self.errors) == known:
+                    self.note(i)
             else:
                 what()
         except Bad as e:

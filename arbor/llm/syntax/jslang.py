@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 from .base import Lexer, Parser
 
@@ -78,15 +80,27 @@ class JsParser(Parser):
         super().__init__(shape.replace(nl, ""))
         self.raw, self.breaks, self.no_in = shape, None, False
 
-    def line_break(self) -> bool:
+    def line_break(self, start: int | None = None, end: int = 0) -> bool:
+        """Whether a line ends before the next token; with ``start``, between the tokens from there up to ``end``."""
         if self.breaks is None:
-            nl, self.breaks, n = self.LEX.code["NL"], set(), 0
-            for x in self.raw:
-                if x == nl:
-                    self.breaks.add(n)
-                else:
-                    n += 1
-        return self.p in self.breaks
+            self.breaks = list(accumulate(map(len, self.raw.split(self.LEX.code["NL"]))))[:-1]
+        at = bisect_right(self.breaks, self.p - 1 if start is None else start)
+        return at < len(self.breaks) and self.breaks[at] <= (self.p if start is None else end)
+
+    # line ends are no part of a shape, so what has some inside is never remembered or passed by memory
+    def remembered(self) -> bool:
+        end = self.ends.search(self.k, self.p).start()
+        if self.k[self.p] == self.LEX.code["for"]:
+            end = max(end, self.k.find("{", self.p))
+        return not self.line_break(self.p, end) and super().remembered()
+
+    def note(self, i: int) -> None:
+        if not self.line_break(i, self.p - 1):
+            super().note(i)
+
+    def head(self, i: int, kind: str) -> None:
+        if not self.line_break(i, self.p):
+            super().head(i, kind)
 
     def semicolon(self) -> None:
         if self.eat(";") or self.t[self.p] in ("}", "EOF"):

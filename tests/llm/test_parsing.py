@@ -111,3 +111,9 @@ def test_holes_of_strings_are_parsed():
         except SyntaxError:
             ok = False
         assert ok == (text in valid) == (not syntax_errors("python", text)), (text, ok, syntax_errors("python", text))
+
+
+def test_memory_of_shapes_knows_line_ends():
+    for valid, invalid in (("throw ee;", "throw\nee;"), ("xx++;", "xx\n++;"), ("if (aa) bb\nelse cc;", "if (aa) bb else cc;")):
+        for text in (valid, invalid, valid, invalid):
+            assert bool(syntax_errors("javascript", text)) == (text == invalid), text

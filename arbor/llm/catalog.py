@@ -15,12 +15,14 @@ QUERIES = {
     "p4_pieces": lambda s, d: chunking.oversized_pieces(table(s, d, "file_vectors"), table(s, d, "entities"), table(s, d, "files")),
     "p5_found": lambda s, d: neighbours.similar_pairs(table(s, d, "entity_vectors")),
     "p5_nearest": lambda s, d: neighbours.nearest(table(s, d, "entity_vectors")),
+    "p5_recall": lambda s, d: neighbours.recall(table(s, d, "entity_vectors")).select("k", "queries", "reached"),
     "p7_ids": lambda s, d: tokenize.token_ids(table(s, d, "documents")),
     "p8_found": lambda s, d: leaks.leaks(table(s, d, "documents"), table(s, d, "eval_items")),
     "p9_found": lambda s, d: visual.visual_pairs(table(s, d, "documents")),
     "p9_classes": lambda s, d: visual.visual_classes(table(s, d, "documents")),
     "p9_normalized": lambda s, d: visual.normalized(table(s, d, "documents")),
 }
+_USABLE = "(select id from entity_vectors where len(embedding) = 384 and id is not null and list_sum(list_transform(embedding, lambda x: abs(x))) > 0 group by id)"
 ORACLES: dict[str, str] = {
     "p4_found": """
 with docs as (select distinct 'file' as item_kind, id as item_id from file_vectors where length(document) > 3000 and id is not null),
@@ -33,4 +35,5 @@ with v as (select id, max(embedding) as e from entity_vectors where len(embeddin
 p as (select a.id as a, b.id as b, list_cosine_similarity(a.e, b.e) as c from v a join v b on a.id <> b.id),
 k as (select a, b, c from p qualify row_number() over (partition by a order by c desc, b) <= 5)
 select distinct least(a, b) as id_a, greatest(a, b) as id_b from k where c >= 0.90""".replace("x -> abs(x)", "lambda x: abs(x)"),
+    "p5_recall": f"select 5 as k, count(*)::bigint as queries, true as reached from {_USABLE} where ('0x' || substr(md5(id), 1, 8))::bigint % 20 = 0",
 }

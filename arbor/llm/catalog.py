@@ -18,6 +18,7 @@ QUERIES = {
     "p5_recall": lambda s, d: neighbours.recall(table(s, d, "entity_vectors")).select("k", "queries", "reached"),
     "p7_ids": lambda s, d: tokenize.token_ids(table(s, d, "documents")),
     "p8_found": lambda s, d: leaks.leaks(table(s, d, "documents"), table(s, d, "eval_items")),
+    "p8_report": lambda s, d: leaks.leak_report(table(s, d, "documents"), table(s, d, "eval_items")),
     "p9_found": lambda s, d: visual.visual_pairs(table(s, d, "documents")),
     "p9_classes": lambda s, d: visual.visual_classes(table(s, d, "documents")),
     "p9_normalized": lambda s, d: visual.normalized(table(s, d, "documents")),

@@ -1,6 +1,6 @@
 import random
 
-from arbor.llm.leaks import BlockMaxIndex, leaks, words
+from arbor.llm.leaks import BlockMaxIndex, Bounds, leak_report, leaks, parts, words
 
 WORDS = [f"w{i}" for i in range(60)]
 
@@ -31,14 +31,51 @@ def _case(seed):
     return docs, items
 
 
+def _found(index, texts):
+    bounds = Bounds(index.run)
+    bounds.add(index)
+    bounds.seal()
+    return [index.leaks(bounds.stretches(t)) for t in texts]
+
+
 def test_index_equals_brute_force():
     for seed in range(8):
         docs, items = _case(seed)
-        index = BlockMaxIndex(items, block=4)
-        got = {(d, index.item_ids[k]) for (d, _), found in zip(docs, index.search([t for _, t in docs])) for k in found}
+        index = BlockMaxIndex(items)
+        got = {(d, index.item_ids[k]) for (d, _), found in zip(docs, _found(index, [t for _, t in docs])) for k in found}
         assert got == _brute(docs, items)
 
 
+def test_wand_retrieves_what_scoring_every_item_retrieves(monkeypatch):
+    from arbor.llm import leaks as module
+
+    for seed, blocks in enumerate((1, 2, 5, 9, 40, 50)):
+        docs, items = _case(seed)
+        monkeypatch.setattr(module, "BLOCKS", blocks)
+        index = BlockMaxIndex(items)
+        for _, text in docs:
+            ids = index.numbers(text.split())
+            for lo in range(0, max(1, len(ids) - 14), 15):
+                terms = sorted({t for t in ids[lo:lo + 29] if t})
+                score = dict.fromkeys(range(len(index.ids)), 0.0)
+                for t in terms:
+                    for k, s in zip(index.items[t], index.impacts[t]):
+                        score[k] += s
+                got = index.retrieve(terms, range(blocks))
+                assert got == sorted(got) and {k for k, s in score.items() if s >= 1 + 1e-6} <= set(got) <= {k for k, s in score.items() if s >= 1 - 1e-6}
+
+
+def test_report_counts_question_and_answers(spark):
+    story = "On day nine the owner of a mill paid 22 crowns to a miller who never came back again"
+    ask, options = "Which remedy is open to the miller in this place after so many years", "(a) lapse for want of form; (b) priority of the pledge made by the brother of the owner of it"
+    item = f"{story}. {ask}: {options}?"
+    assert parts(item) == (19, 33) and parts(f"{story}. {ask}? Yes") == (19, 34) and parts(story) == (19, 19)
+    docs = spark.createDataFrame([(1, f"Before. {item} After."), (2, f"x {story} y"), (3, f"{ask} {options}"), (4, f"{story} z {options}")], "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[2:] for r in leak_report(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    size, tail = len(words(item)), len(words(options))
+    assert got == {1: (size, size, size, 14, tail), 2: (19, size, 19, 0, 0), 3: (14 + tail, size, 14 + tail, 14, tail), 4: (20, size, 19 + tail, 0, tail)}
+
+
 def test_layout_case_and_hidden_characters_dont_matter(spark, rows):
     passage = "On day nine the Café owner paid 22 crowns to a miller who never came back again at all"
     changed = passage.upper().replace(" ", " -\n ", 3).replace("O", "О").replace("PAID", "PA\u200bID").replace("É", "E\u0301")
@@ -54,7 +91,7 @@ def test_shards(spark, rows, monkeypatch):
 
     docs, items = _case(99)
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(module, "SHARD", 7)
+    monkeypatch.setattr(module, "SHARD_WORDS", 200)
     assert set(rows(leaks(d, i))) == _brute(docs, items)
 
 
@@ -74,4 +111,4 @@ def test_case_and_look_alikes_meet_but_other_letters_dont():
     belarusian = "У лесе жыў воўк і быў ён шэры а воўк быў зноў каля ракі ў полі"
     index = BlockMaxIndex([(1, greek.lower()), (2, latin), (3, belarusian)])
     texts = [greek, latin.upper().replace("N", "Ν").replace("Y", "Υ"), latin.replace("now", "vow").replace("vest", "nest").replace("may", "mau").replace("by", "bu").replace("no ", "vo "), belarusian.replace("ў", "y̆"), belarusian.upper()]
-    assert index.search(texts) == [{0}, {1}, set(), {2}, {2}]
+    assert [set(x) for x in _found(index, texts)] == [{0}, {1}, set(), {2}, {2}]

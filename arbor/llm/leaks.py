@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .glyphs import Glyphs, look_alikes, of
+
 RUN = 15
 #: Blocks of items of an index.
 BLOCKS = 50
@@ -46,49 +48,44 @@ _OPTIONS = re.compile(r"\(a\)", re.I)
 _SENTENCE = re.compile(r"[.!?]\s+(?=\S)")
 
 
-def _surface(text: str) -> list[str]:
+def _surface(text: str, glyphs: Glyphs) -> list[str]:
     """Runs of letters or digits as written, without what nobody sees."""
-    from .glyphs import joined
-
-    return _WORD.findall(text if text.isascii() else joined(text))
+    return _WORD.findall(text if text.isascii() else glyphs.joined(text))
 
 
-def words(text: str) -> list[str]:
+def words(text: str, glyphs: Glyphs) -> list[str]:
     """Runs of letters or digits as skeletons: without case and the same for all look-alikes."""
-    from .glyphs import joined, skeleton
-
-    return [skeleton(w) for w in _WORD.findall(text.lower() if text.isascii() else joined(text).lower())]
+    return [glyphs.skeleton(w) for w in _WORD.findall(text.lower() if text.isascii() else glyphs.joined(text).lower())]
 
 
 def parts(text: str) -> tuple[int, int]:
     """How many words stand before the question, its last sentence with '?' up to the answers '(a) ...', and before the
     answers. Without a question or answers they are at the end."""
+    count = lambda upto: len(_WORD.findall(text[:upto]))
     options = _OPTIONS.search(text)
     end = options.start() if options else len(text)
     asked = text.rfind("?", 0, end) if not options else end
     if asked < 0:
-        return len(_surface(text)), len(_surface(text[:end]))
+        return count(len(text)), count(end)
     begins = [m.end() for m in _SENTENCE.finditer(text, 0, asked)]
-    return len(_surface(text[:begins[-1] if begins else 0])), len(_surface(text[:end]))
+    return count(begins[-1] if begins else 0), count(end)
 
 
 class _Terms(dict):
     """Numbers of words, 0 for those that no item has; filled as words are met."""
 
-    def __init__(self, vocab: dict[str, int]):
+    def __init__(self, vocab: dict[str, int], glyphs: Glyphs):
         super().__init__()
-        self.vocab = vocab
+        self.vocab, self.glyphs = vocab, glyphs
 
     def __missing__(self, word: str) -> int:
-        from .glyphs import skeleton
-
         if len(self) > TERMS:
             self.clear()
-        self[word] = number = self.vocab.get(skeleton(word), 0)
+        self[word] = number = self.vocab.get(self.glyphs.skeleton(word), 0)
         return number
 
     def __reduce__(self):
-        return _Terms, (self.vocab,)
+        return _Terms, (self.vocab, self.glyphs)
 
 
 class Leak(NamedTuple):
@@ -101,14 +98,14 @@ class Leak(NamedTuple):
 class BlockMaxIndex:
     """BM25 posting lists of a bounded set of items, impacts as a fraction of each item's threshold."""
 
-    def __init__(self, items: list[tuple[int, str]], run: int = RUN):
-        kept = [(i, w, t) for i, t in items if t and len(w := words(t)) >= run]
-        self.run, self.item_ids = run, [i for i, _, _ in kept]
+    def __init__(self, items: list[tuple[int, str]], glyphs: Glyphs, run: int = RUN):
+        kept = [(i, w, t) for i, t in items if t and len(w := words(t, glyphs)) >= run]
+        self.run, self.glyphs, self.item_ids = run, glyphs, [i for i, _, _ in kept]
         vocab: dict[str, int] = {}
         self.ids = [array("i", [vocab.setdefault(w, len(vocab) + 1) for w in ws]) for _, ws, _ in kept]
-        self.surface = [_surface(t) for _, _, t in kept]
+        self.surface = [_surface(t, glyphs) for _, _, t in kept]
         self.parts = [parts(t) for _, _, t in kept]
-        self.terms = _Terms(vocab)
+        self.terms = _Terms(vocab, glyphs)
         n, size = len(kept), len(vocab) + 1
         df = Counter(t for x in self.ids for t in set(x))
         mean = sum(map(len, self.ids)) / max(n, 1)
@@ -206,9 +203,7 @@ class BlockMaxIndex:
 
     def _shared(self, ids: list[int], surface: list[str], at: int, item: int, place: int) -> tuple[int, int]:
         """How many words before ``at``, and from there on, are the item's around ``place``."""
-        from .glyphs import same_word
-
-        own, written = self.ids[item], self.surface[item]
+        own, written, same_word = self.ids[item], self.surface[item], self.glyphs.same_word
         same = lambda a, b: 0 <= a < len(ids) and 0 <= b < len(own) and ids[a] == own[b] and same_word(surface[a], written[b])
         left = right = 0
         while same(at + right, place + right):
@@ -224,24 +219,22 @@ _item = lambda c: c[0]
 class Bounds:
     """The highest impact of every word in each block of items, over all of several indexes."""
 
-    def __init__(self, run: int = RUN):
-        self.run, self.top = run, {}
+    def __init__(self, glyphs: Glyphs, run: int = RUN):
+        self.glyphs, self.run, self.top = glyphs, run, {}
 
     def add(self, index: BlockMaxIndex) -> None:
         for word, number in index.terms.vocab.items():
             self.top[word] = np.maximum(self.top.get(word, 0), index.block_max[number])
 
     def seal(self) -> Bounds:
-        self.terms = _Terms({w: n for n, w in enumerate(self.top, 1)})
+        self.terms = _Terms({w: n for n, w in enumerate(self.top, 1)}, self.glyphs)
         self.block_max = np.stack([np.zeros(BLOCKS, np.float32), *self.top.values()])
         self.impact = self.block_max.max(axis=1).astype(np.float64)
         self.top = {}
         return self
 
     def stretches(self, text: str) -> list[list[str]]:
-        from .glyphs import joined
-
-        text = text if text.isascii() else joined(text)
+        text = text if text.isascii() else self.glyphs.joined(text)
         at = np.array([self.terms[w] for w in _WORD.findall(text.lower())], np.int32)
         if len(at) < self.run:
             return []
@@ -294,6 +287,7 @@ def leak_report(docs: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     from ..storage import materialize
 
     spark = docs.sparkSession
+    known = of(look_alikes(spark))
     clean = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     size = clean.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+")))).first()[0] or 0
     shards = max(1, -(-size // SHARD_WORDS))
@@ -302,9 +296,9 @@ def leak_report(docs: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
 
     def built(shard: int) -> BlockMaxIndex:
         rows = ranked.where(F.col("shard") == shard).select("item_id", "text").collect()
-        return BlockMaxIndex([(r.item_id, r.text) for r in sorted(rows)], run)
+        return BlockMaxIndex([(r.item_id, r.text) for r in sorted(rows)], known, run)
 
-    bounds = Bounds(run)
+    bounds = Bounds(known, run)
     if shards == 1:
         index = built(0)
         bounds.add(index)
@@ -319,13 +313,13 @@ def leak_report(docs: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     else:
         for shard in range(shards):
             bounds.add(built(shard))
-        known = spark.sparkContext.broadcast(bounds.seal())
+        sealed = spark.sparkContext.broadcast(bounds.seal())
 
         def keep(batches):
             for b in batches:
                 ids, found = [], []
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    if kept := known.value.stretches(text):
+                    if kept := sealed.value.stretches(text):
                         ids.append(doc), found.append(kept)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.list_(pa.string())))], names=["doc_id", "stretches"])
 

@@ -21,13 +21,16 @@ def normalized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A null text stays null with null counts; empty and blank texts are kept
     (blanks unified). Rows are independent: no shuffle.
     """
-    from .glyphs import canonical, findings
+    from . import glyphs
+
+    classes = glyphs.look_alikes(docs.sparkSession)
 
     def run(batches):
+        known = glyphs.of(classes)
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
-            norm = [None if t is None else canonical(t) for t in texts]
-            seen = [(None, None, None) if t is None else findings(t) for t in texts]
+            norm = [None if t is None else known.canonical(t) for t in texts]
+            seen = [(None, None, None) if t is None else known.findings(t) for t in texts]
             cols = [ids, pa.array(norm, pa.string())] + [pa.array([x[k] for x in seen], pa.int32()) for k in range(3)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_norm", "n_special", "n_mixed", "n_whole"])
 
@@ -39,13 +42,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(doc_id, canon, raw)``: 128-bit digests of the consistent form and of the
     text as it is. Null, empty and blank texts (also those of unseen characters
     only) have no row. Only digests leave the scan, never texts."""
-    from .glyphs import canonical
+    from . import glyphs
+
+    classes = glyphs.look_alikes(docs.sparkSession)
 
     def run(batches):
+        known = glyphs.of(classes)
         for b in batches:
             ids, canon, raw = [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                form = canonical(t)
+                form = known.canonical(t)
                 if form.strip():
                     ids.append(i)
                     canon.append(_digest(form))

@@ -3,9 +3,12 @@ import unicodedata
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from arbor.llm.glyphs import LOOKALIKES, canonical
+import pytest
+
+from arbor.llm.glyphs import LOOKALIKES, look_alikes, of
 from arbor.llm.visual import normalized, visual_classes, visual_pairs
 
+FIXED = of(tuple(tuple(c for c in row if c) for row in LOOKALIKES))
 SCHEMA = "doc_id long, text string, canon string, raw string"
 
 
@@ -19,17 +22,45 @@ TWINS = [
 ]
 
 
-def test_twins_become_equal():
-    for a, b in TWINS:
-        assert a != b and canonical(a) == canonical(b), (a, b)
+@pytest.fixture(scope="module")
+def whole(spark):
+    return look_alikes(spark)
+
+
+def _all_of(known, pairs):
+    for a, b in pairs:
+        assert a != b and known.canonical(a) == known.canonical(b), (a, b)
+
+
+def test_twins_become_equal(whole):
+    _all_of(FIXED, TWINS)
+    _all_of(of(whole), TWINS)
+
+
+def test_letters_of_many_scripts(whole):
+    """Armenian, Cherokee, Coptic, Lisu; letters of one script; hyphens, the modifier apostrophe and joined units."""
+    assert len(whole) > 250 and sum(map(len, whole)) > 800
+    _all_of(of(whole), [
+        ("no other", "n\u0585 \u0585ther"), ("A LATE", "\u13aa L\u13aaTE"), ("go on", "\u0261o on"), ("in it", "\u0131n \u0131t"), ("co-op", "co\u2010op"), ("re-do", "re\u2011do"),
+        ("ROB", "R\u2c9eB"), ("DO", "\ua4d3\ua4f3"), ("l\u2019or", "l\u02bcor"), ("5 kg", "5 \u338f"), ("grand", "\u0433\u0433and".replace("\u0433\u0433", "g\u0433")),
+    ])
+
+
+def test_differences_stay(whole):
+    for known in (FIXED, of(whole)):
+        for a, b in (("a  b", "a b"), ("a\nb", "a b"), ("cafe", "café"), ("A", "a"), ("1", "l"), ("v 10", "v 1O"), ("x\r\ny", "x\ny"), ("Il", "ll"), ("a-b", "a\u2013b"), ("it's", "it\u2019s"), ("\u2460", "1"), ("rn", "m"), ("nv", "vv")):
+            assert known.canonical(a) != known.canonical(b)
 
 
-def test_differences_stay():
-    for a, b in (("a  b", "a b"), ("a\nb", "a b"), ("cafe", "café"), ("A", "a"), ("1", "l"), ("v 10", "v 1O"), ("x\r\ny", "x\ny")):
-        assert canonical(a) != canonical(b)
+def test_no_two_usual_letters_are_one(whole):
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßàâçéèêëîïôùûœ"
+    for alphabet in (letters, letters.upper(), "абвгдежзийклмнопрстуфхцчшщъьюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЬЮЯ"):
+        own = {of(whole).canonical(c + " ж" * ("ж" in alphabet.lower())) for c in set(alphabet)}
+        assert len(own) == len(set(alphabet))
 
 
 def test_spelling_follows_the_text():
+    canonical = FIXED.canonical
     assert canonical("Съдът оceнява") == "Съдът оценява".replace("ц", "c").replace("c", "с") or canonical("Съдът peши") == "Съдът реши"
     assert canonical("The сourt") == "The court" and canonical("Nuni J — Съдът реши") == "Nuni J — Съдът реши"
 
@@ -39,11 +70,13 @@ _SWAP = {c: row for row in LOOKALIKES for c in row if c}
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="abceopxyABHKzжщиGΩ é1 \n", max_size=30), st.randoms(use_true_random=False))
-def test_any_look_alike_spelling_has_one_form(text, rng):
+def test_any_look_alike_spelling_has_one_form(whole, text, rng):
     other = "".join(rng.choice([x for x in _SWAP[c] if x]) if c in _SWAP else c for c in text)
     other = unicodedata.normalize(rng.choice(["NFC", "NFD"]), other)
-    assert canonical(other) == canonical(text)
-    assert canonical(canonical(text)) == canonical(text)
+    for known in (FIXED, of(whole)):
+        canonical = known.canonical
+        assert canonical(other) == canonical(text)
+        assert canonical(canonical(text)) == canonical(text)
 
 
 def test_pairs(spark, rows):
@@ -56,6 +89,6 @@ def test_pairs(spark, rows):
     assert rows(visual_pairs(docs.limit(0))) == [] and normalized(docs).count() == len(data)
 
 
-def test_cyrillic_text_with_letters_outside_of_the_usual_alphabet():
-    for a, b in (("Георги II реши", "Георги ІІ реши"), ("Съдът Јs реши", "Съдът Јѕ реши")):
-        assert a != b and canonical(a) == canonical(b)
+def test_cyrillic_text_with_letters_outside_of_the_usual_alphabet(whole):
+    for known in (FIXED, of(whole)):
+        _all_of(known, (("Георги II реши", "Георги ІІ реши"), ("Съдът Јs реши", "Съдът Јѕ реши")))

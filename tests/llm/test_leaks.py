@@ -1,15 +1,18 @@
 import random
 
+from arbor.llm.glyphs import LOOKALIKES, of
 from arbor.llm.leaks import BlockMaxIndex, Bounds, leak_report, leaks, parts, words
 
+KNOWN = of(tuple(tuple(c for c in row if c) for row in LOOKALIKES))
+
 WORDS = [f"w{i}" for i in range(60)]
 
 
 def _brute(docs, items, run=15):
-    grams = [(i, {tuple(w[p:p + run]) for p in range(len(w) - run + 1)}) for i, t in items if t for w in [words(t)]]
+    grams = [(i, {tuple(w[p:p + run]) for p in range(len(w) - run + 1)}) for i, t in items if t for w in [words(t, KNOWN)]]
     out = set()
     for d, text in docs:
-        w = words(text or "")
+        w = words(text or "", KNOWN)
         own = {tuple(w[p:p + run]) for p in range(len(w) - run + 1)}
         out |= {(d, i) for i, g in grams if own & g}
     return out
@@ -32,7 +35,7 @@ def _case(seed):
 
 
 def _found(index, texts):
-    bounds = Bounds(index.run)
+    bounds = Bounds(KNOWN, index.run)
     bounds.add(index)
     bounds.seal()
     return [index.leaks(bounds.stretches(t)) for t in texts]
@@ -41,7 +44,7 @@ def _found(index, texts):
 def test_index_equals_brute_force():
     for seed in range(8):
         docs, items = _case(seed)
-        index = BlockMaxIndex(items)
+        index = BlockMaxIndex(items, KNOWN)
         got = {(d, index.item_ids[k]) for (d, _), found in zip(docs, _found(index, [t for _, t in docs])) for k in found}
         assert got == _brute(docs, items)
 
@@ -52,7 +55,7 @@ def test_wand_retrieves_what_scoring_every_item_retrieves(monkeypatch):
     for seed, blocks in enumerate((1, 2, 5, 9, 40, 50)):
         docs, items = _case(seed)
         monkeypatch.setattr(module, "BLOCKS", blocks)
-        index = BlockMaxIndex(items)
+        index = BlockMaxIndex(items, KNOWN)
         for _, text in docs:
             ids = index.numbers(text.split())
             for lo in range(0, max(1, len(ids) - 14), 15):
@@ -72,7 +75,7 @@ def test_report_counts_question_and_answers(spark):
     assert parts(item) == (19, 33) and parts(f"{story}. {ask}? Yes") == (19, 34) and parts(story) == (19, 19)
     docs = spark.createDataFrame([(1, f"Before. {item} After."), (2, f"x {story} y"), (3, f"{ask} {options}"), (4, f"{story} z {options}")], "doc_id long, text string")
     got = {r.doc_id: tuple(r)[2:] for r in leak_report(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
-    size, tail = len(words(item)), len(words(options))
+    size, tail = len(words(item, KNOWN)), len(words(options, KNOWN))
     assert got == {1: (size, size, size, 14, tail), 2: (19, size, 19, 0, 0), 3: (14 + tail, size, 14 + tail, 14, tail), 4: (20, size, 19 + tail, 0, tail)}
 
 
@@ -109,6 +112,6 @@ def test_case_and_look_alikes_meet_but_other_letters_dont():
     greek = "ΝΑ ΕΙΝΑΙ ΚΑΛΟ ΤΟ ΝΕΡΟ ΤΗΣ ΠΗΓΗΣ ΚΑΙ Η ΝΥΧΤΑ ΣΤΟ ΒΟΥΝΟ ΕΙΝΑΙ ΚΡΥΑ ΚΑΙ ΝΕΑ"
     latin = "now the vest is by the door and no one can say if we may go in yet"
     belarusian = "У лесе жыў воўк і быў ён шэры а воўк быў зноў каля ракі ў полі"
-    index = BlockMaxIndex([(1, greek.lower()), (2, latin), (3, belarusian)])
+    index = BlockMaxIndex([(1, greek.lower()), (2, latin), (3, belarusian)], KNOWN)
     texts = [greek, latin.upper().replace("N", "Ν").replace("Y", "Υ"), latin.replace("now", "vow").replace("vest", "nest").replace("may", "mau").replace("by", "bu").replace("no ", "vo "), belarusian.replace("ў", "y̆"), belarusian.upper()]
     assert [set(x) for x in _found(index, texts)] == [{0}, {1}, set(), {2}, {2}]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from ..sources.tables import table
-from . import chunking, handwritten, leaks, neighbours, parsing, tokenize, visual
+from . import chunking, glyphs, handwritten, leaks, neighbours, parsing, tokenize, visual
 
 QUERIES = {
     "p2_found": lambda s, d: handwritten.scored(table(s, d, "files")).where("flagged").select("path"),
@@ -23,6 +25,29 @@ QUERIES = {
     "p9_classes": lambda s, d: visual.visual_classes(table(s, d, "documents")),
     "p9_normalized": lambda s, d: visual.normalized(table(s, d, "documents")),
 }
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _folded(column: str) -> str:
+    """SQL for a text with every look-alike of LOOKALIKES as the first of its row, without unseen characters."""
+    first = {c: next(x for x in row if x) for row in glyphs.LOOKALIKES for c in row if c}
+    single = {c: first.get(p, p) for c, p in ((chr(c), p) for c, p in glyphs._PLAIN.items()) if len(p) == 1} | {c: x for c, x in first.items() if c != x}
+    for ch in map(chr, range(0x370, 0x530)):  # letters that hold their mark
+        base, marks = (apart := unicodedata.normalize("NFD", ch))[0], apart[1:]
+        if marks and base in first and len(made := unicodedata.normalize("NFC", first[base] + marks)) == 1:
+            single[ch] = made
+    unseen = "".join(f"\\x{{{c:x}}}" for c, p in glyphs._PLAIN.items() if not p)
+    out = f"regexp_replace({column}, '[{unseen}]', '', 'g')"
+    for ch in ("…", *map(chr, range(0xFB00, 0xFB07))):
+        out = f"replace({out}, {_literal(ch)}, {_literal(glyphs._PLAIN[ord(ch)])})"
+    return f"nfc_normalize(translate({out}, {_literal(''.join(single))}, {_literal(''.join(single.values()))}))"
+
+
+_FORMS = f"t as (select doc_id, text, {_folded('text')} as form from documents where text is not null and doc_id is not null), f as (select distinct * from t where regexp_matches(form, '\\S'))"
+_RUNS = "select distinct {id}, array_to_string(w[p:p + 14], ' ') as run from (select {id}, w, unnest(range(1, len(w) - 13)) as p from (select {id}, regexp_extract_all(lower({form}), '[\\p{{L}}\\p{{N}}]+') as w from {table} where {id} is not null and text is not null) where len(w) >= 15)"
 _USABLE = "(select id from entity_vectors where len(embedding) = 384 and id is not null and list_sum(list_transform(embedding, lambda x: abs(x))) > 0 group by id)"
 ORACLES: dict[str, str] = {
     "p4_found": """
@@ -37,4 +62,11 @@ p as (select a.id as a, b.id as b, list_cosine_similarity(a.e, b.e) as c from v
 k as (select a, b, c from p qualify row_number() over (partition by a order by c desc, b) <= 5)
 select distinct least(a, b) as id_a, greatest(a, b) as id_b from k where c >= 0.90""".replace("x -> abs(x)", "lambda x: abs(x)"),
     "p5_recall": f"select 5 as k, count(*)::bigint as queries, true as reached from {_USABLE} where ('0x' || substr(md5(id), 1, 8))::bigint % 20 = 0",
+    "p8_found": f"""
+with d as ({_RUNS.format(id='doc_id', form=_folded('text'), table='documents')}), i as ({_RUNS.format(id='item_id', form=_folded('text'), table='eval_items')})
+select distinct doc_id, item_id from d join i using (run)""",
+    "p9_found": f"with {_FORMS} select distinct a.doc_id as doc_a, b.doc_id as doc_b from f a join f b on a.form = b.form and a.text <> b.text and a.doc_id < b.doc_id",
+    "p9_classes": f"""
+with {_FORMS}, c as (select form, min(doc_id) as class_id, count(distinct text)::bigint as n_spellings from f group by form having count(distinct text) > 1)
+select doc_id, class_id, n_spellings from f join c using (form)""",
 }

@@ -7,6 +7,7 @@ setting is missing (tests, single machine).
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -40,20 +41,56 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _at(spark: SparkSession, path: str):
+    """(Hadoop's file system of a path, the path)."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch folder through Hadoop's file system of that path."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    """Deletes a folder."""
+    files, target = _at(spark, path)
+    files.delete(target, True)
 
 
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder; none where there is no folder."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, target = _at(spark, path)
     return [x.getPath().getName() for x in files.listStatus(target)] if files.exists(target) else []
 
 
+def _published(spark: SparkSession, folder: str) -> list[int]:
+    return sorted(int(name.removesuffix(".json")) for name in children(spark, f"{folder}/current") if name.endswith(".json") and name[:1] != ".")
+
+
+def publish(spark: SparkSession, folder: str, record: dict) -> None:
+    """Makes ``record`` the current one of a folder. It is written aside and renamed to the next number, so
+    readers see the one before or this one, on every file system; older ones than the last two are deleted."""
+    known = _published(spark, folder)
+    number = (known[-1] if known else 0) + 1
+    files, aside = _at(spark, f"{folder}/current/.{uuid.uuid4().hex}")
+    out = files.create(aside)
+    out.writeBytes(json.dumps(record))  # plain ASCII
+    out.close()
+    if not files.rename(aside, _at(spark, f"{folder}/current/{number}.json")[1]):
+        raise OSError(f"can't publish {number} in {folder}")
+    for old in known[:-1]:
+        files.delete(_at(spark, f"{folder}/current/{old}.json")[1], False)
+
+
+def current(spark: SparkSession, folder: str) -> dict | None:
+    """The current record of a folder, None where nothing was published."""
+    known = _published(spark, folder)
+    if not known:
+        return None
+    files, target = _at(spark, f"{folder}/current/{known[-1]}.json")
+    stream = files.open(target)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
 def release_scratch(spark: SparkSession) -> None:
     """Deletes all intermediate tables of this application; results that weren't written yet can't be computed afterwards."""
     drop_path(spark, f"{shared_dir(spark)}/arbor/{spark.sparkContext.applicationId}")

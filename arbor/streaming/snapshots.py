@@ -2,50 +2,39 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.snapshots import SnapshotIndex, normalized_nodes
-from ..storage import children, drop_path
 
 
-def follow(stream: DataFrame, changes_path: str, checkpoint: str, index: SnapshotIndex | None = None) -> StreamingQuery:
+def follow(stream: DataFrame, changes_path: str, checkpoint: str) -> StreamingQuery:
     """Appends the changes of every snapshot of the stream to ``changes_path``.
 
     A micro-batch must hold whole snapshots (one delivery is one file of the source); within it they are taken
-    in order of their id. Each batch's changes go to a folder of its own that is overwritten if the batch is repeated.
+    in order of their id. Each snapshot's changes go to a folder of its own that is overwritten if it is taken again.
 
-    The index of the last snapshot lives below the checkpoint, so a later run goes on from it. Which one it is gets noted
-    per batch, after the batch's changes are written; a repeated batch starts from the one before it. A first run
-    may start from ``index``.
+    The index of the last snapshot lives below the checkpoint, so a later run goes on from it. It is swapped when a
+    snapshot's changes are written; a repeated batch goes on behind the last snapshot that was swapped. A
+    snapshot that is older than the index, or the same again in a later batch, is an error: no change is dropped silently.
     """
     spark = stream.sparkSession
-    index = index or SnapshotIndex(spark)
-    given, state, store = index.table, f"{checkpoint}/arbor-state", f"{checkpoint}/arbor-index"
+    index = SnapshotIndex(spark, f"{checkpoint}/arbor-index")
 
     def take(batch: DataFrame, number: int) -> None:
-        known = sorted(int(name) for name in children(spark, state))
-        before = [n for n in known if n < number]
-        last = spark.read.parquet(f"{state}/{before[-1]}").first() if before else None
-        name, snapshot = (last.name, last.snapshot_id) if last else (None, None)
-        old = spark.read.schema("path string, digest string").parquet(f"{store}/{name}") if name else spark.table(given) if given else None
         rows = normalized_nodes(batch).persist()
         for r in rows.select("snapshot_id").distinct().orderBy("snapshot_id").collect():  # one row per snapshot
-            name, snapshot = uuid.uuid4().hex, r.snapshot_id
-            table, found = index.compare(old, rows.where(F.col("snapshot_id") == snapshot).select("path", "hash", "is_file"), f"{store}/{name}")
-            if found is not None:
-                found.withColumn("snapshot_id", F.lit(snapshot)).write.mode("overwrite").parquet(f"{changes_path}/batch={number}/snapshot={snapshot}")
-            index.table, old = table, spark.table(table)
+            state = index.state
+            if state and r.snapshot_id <= state["snapshot"]:
+                if state["note"] == number:
+                    continue  # written before the batch was repeated
+                raise ValueError(f"snapshot {r.snapshot_id} comes after {state['snapshot']}")
+            changes = index.probe(rows.where(F.col("snapshot_id") == r.snapshot_id).select("path", "hash", "is_file"))
+            if changes is not None:
+                changes.withColumn("snapshot_id", F.lit(r.snapshot_id)).write.mode("overwrite").parquet(f"{changes_path}/batch={number}/snapshot={r.snapshot_id}")
+            index.swap(r.snapshot_id, number)
         rows.unpersist()
-        spark.createDataFrame([(name, snapshot)], "name string, snapshot_id int").coalesce(1).write.mode("overwrite").parquet(f"{state}/{number}")
-        for n in before[:-1]:
-            drop_path(spark, f"{state}/{n}")
-        for x in children(spark, store):
-            if x not in (name, last and last.name):
-                drop_path(spark, f"{store}/{x}")
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

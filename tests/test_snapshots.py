@@ -84,3 +84,43 @@ def test_stream_goes_on_after_a_restart_and_a_repeated_batch(spark, tmp_path, ro
     last.unlink()  # as if the run had ended before the batch was noted
     (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
     assert run() == whole
+
+
+def test_index_outlives_its_object_and_keeps_two_tables(spark, tmp_path, rows):
+    folder = str(tmp_path / "index")
+    at = lambda *data: spark.createDataFrame([(p, h, True) for p, h in data], "path string, hash string, is_file boolean")
+    first = snapshots.SnapshotIndex(spark, folder, 4)
+    assert first.probe(at(("a", "1"), ("b", "1"), ("c", "1"))) is None
+    first.swap(1)
+    name = first.state["name"]
+    spark.sql(f"drop table arbor_index_{name}")  # as in a new session
+    again = snapshots.SnapshotIndex(spark, folder, 99)
+    changes = again.probe(at(("a", "1"), ("b", "2"), ("d", "1")))
+    assert rows(changes) == [("b", "modified"), ("c", "deleted"), ("d", "added")]
+    # the run ends before the swap: the next one starts from the same index
+    changes = snapshots.SnapshotIndex(spark, folder).probe(at(("a", "1"), ("b", "2"), ("d", "1")))
+    assert rows(changes) == [("b", "modified"), ("c", "deleted"), ("d", "added")]
+    again.swap(2)
+    assert again.state["before"] == name and (tmp_path / "index" / name).exists()
+    assert rows(again.probe(at(("a", "9")))) == [("a", "modified"), ("b", "deleted"), ("d", "deleted")]
+    again.swap(3)
+    assert not (tmp_path / "index" / name).exists() and again.state["snapshot"] == 3
+
+
+def test_stream_refuses_an_older_snapshot(spark, tmp_path):
+    import pytest
+    from pyspark.errors import StreamingQueryException
+
+    from arbor.streaming.snapshots import follow
+
+    (tmp_path / "in").mkdir()
+    nodes = _nodes(spark, [c for c in CASES if c[0] is not None])
+    stream = spark.readStream.schema(nodes.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for s in (4, 2):
+        nodes.where(f"snapshot_id = {s}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = follow(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+        if s == 4:
+            query.awaitTermination(120)
+        else:
+            with pytest.raises(StreamingQueryException):
+                query.awaitTermination(120)

@@ -1,13 +1,18 @@
 """Problem 1: results per key where a few keys hold most rows.
 
-Counts and quantiles per key are made from mergeable counts only. A quantile is found
-by refining a histogram: values are mapped to 64-bit integers that sort alike,
-each round counts, per key, the values under 256 (later 65,536) sub-ranges of the range that holds
+Counts and quantiles per key are made from mergeable counts only.
+
+A quantile is found by refining a histogram: values are mapped to 64-bit integers that sort alike,
+each round counts, per key, the values under 256 sub-ranges of the range that holds
 the wanted rank, and keeps the sub-range with the rank, until a range has one value.
 Rows are combined before every shuffle, so a key with a third of all rows sends as
 many records as it has sub-ranges, never its values. Ranges of the few keys that
 can hold more than 1/HOT of the rows reach the rows by broadcast (at most HOT keys, by
 counting); the ranges of other keys by a join in which no key is large.
+
+Keys with a given share of all events are selected alike: events are counted under 65,536 ranges of the
+keys' hashes, ranges with less than the share are dropped (fewer than 1 / share are left), the others
+are refined until each holds one key. So a key below the share is never sent by itself.
 """
 
 from __future__ import annotations
@@ -22,7 +27,8 @@ from ..storage import materialize
 
 #: A key is hot if it has more than 1/HOT of the rows; there are fewer than HOT of them.
 HOT = 2000
-DIGIT = 16  # bits resolved per round
+#: Bits resolved per round: of values, of the hashes of keys.
+DIGIT, KEY_DIGIT = 8, 16
 
 
 def _ordered(value: Column, kind: T.DataType) -> Column:
@@ -32,16 +38,29 @@ def _ordered(value: Column, kind: T.DataType) -> Column:
     return value.cast("long")
 
 
-def event_histogram(rows: DataFrame, key: str, event: str, value: str) -> DataFrame:
-    """``(k, v, n)``: per key and value the number of distinct events; a re-delivered event counts
-    once per key, with its smallest value. The null key is a key, null values are kept, rows without an event dropped.
+def key_events(rows: DataFrame, fields: Sequence[str], event: str, value: str | None = None) -> DataFrame:
+    """``(f, k, v)``: one row per field ``f`` (its number, from 0), key and event, with the event's smallest value there;
+    and one per event with the number after the last and a null key. Rows without an event are dropped.
 
-    The pair (key, event) is made distinct first, so a hot key is spread by its events; then
-    counts are combined before they are sent.
+    Fields are grouping sets of one scan. The pair (key, event) is made distinct, so a hot key is spread by its events.
     """
-    kind = rows.schema[value].dataType
-    once = rows.where(F.col(event).isNotNull()).groupBy(F.col(key).cast("string").alias("k"), F.col(event).alias("ev")).agg(F.min(_ordered(F.col(value), kind)).alias("v"))
-    return once.groupBy("k", "v").agg(F.count("*").alias("n"))
+    picked = rows.where(F.col(event).isNotNull()).select(
+        *[F.col(c).cast("string").alias(f"k{n}") for n, c in enumerate(fields)], F.col(event).alias("ev"),
+        (_ordered(F.col(value), rows.schema[value].dataType) if value else F.lit(None).cast("long")).alias("v"))
+    keys = [f"k{n}" for n in range(len(fields))]
+    once = picked.groupingSets([*[(k, "ev") for k in keys], ("ev",)], *keys, "ev").agg(F.grouping_id().alias("g"), F.min("v").alias("v"))
+    # the grouping id has a bit for every key that is left out, the first key the highest
+    every = (1 << len(keys)) - 1
+    number, key = F.lit(len(keys)), F.lit(None).cast("string")
+    for n, k in enumerate(keys):
+        own = F.col("g") == ((every ^ (1 << (len(keys) - 1 - n))) << 1)
+        number, key = F.when(own, n).otherwise(number), F.when(own, F.col(k)).otherwise(key)
+    return once.select(number.cast("int").alias("f"), key.alias("k"), "v")
+
+
+def event_histogram(rows: DataFrame, key: str, event: str, value: str) -> DataFrame:
+    """``(k, v, n)``: the smallest values of a key's distinct events. The null key is a key, null values are kept."""
+    return key_events(rows, [key], event, value).where("f = 0").select("k", "v", F.lit(1).cast("long").alias("n"))
 
 
 def value_histogram(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -64,21 +83,20 @@ def key_quantiles(rows: DataFrame, key: str, value: str, fractions: Sequence[flo
 def histogram_quantiles(base: DataFrame, fractions: Sequence[float], hot: int = HOT) -> DataFrame:
     """The same from a stored histogram ``(k, v, n)``."""
     base = base.where("v is not null")
-    span = base.groupBy("k").agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    span = materialize(base.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("records"), F.min("v").alias("lo"), F.max("v").alias("hi")), "skew-span")
+    records = span.agg(F.sum("records")).first()[0] or 0
+    heavy = span.where(F.col("records") > records / hot).select("k")  # fewer than ``hot`` keys
     wanted = span.withColumn("q", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
     wanted = wanted.withColumn("rank", F.greatest(F.lit(1), F.least(F.col("n"), F.ceil(F.round(F.col("q") * F.col("n"), 9)).cast("long"))))
     # widths of the sub-ranges are powers of two; ranges are aligned to them
     state = materialize(wanted.select("k", "n", "q", "rank", "lo", "hi"), "skew-state")
-    done, heavy = None, None
+    done = None
     while True:
         open_ = state.where("lo < hi")
         closed = state.where("lo = hi").select("k", "n", "q", F.col("lo").alias("v"))
         done = closed if done is None else done.unionByName(closed)
         if open_.isEmpty():
             return done
-        if heavy is None:
-            records = base.groupBy("k").agg(F.count("*").alias("records"))
-            heavy = materialize(records.where(F.col("records") > base.count() / hot).select("k"), "skew-heavy")  # fewer than ``hot`` keys
         state = materialize(_refine(base, open_, heavy), "skew-state")
 
 
@@ -118,20 +136,36 @@ def _refine(base: DataFrame, open_: DataFrame, heavy: DataFrame) -> DataFrame:
 def key_profile(rows: DataFrame, fields: Sequence[str], event: str, value: str, fractions: Sequence[float] = (0.5,)) -> DataFrame:
     """``(field, key_value, n_events, total_events, q, v)``: distinct events of every non-null key of
     every field, with exact quantiles of a value (null where a key has no value). ``total_events``
-    counts distinct events whatever their keys. Each field is scanned once."""
-    total = rows.select(event).where(F.col(event).isNotNull()).distinct().count()
-    out = None
-    for field in fields:
-        base = materialize(event_histogram(rows, field, event, value), "skew-histogram")
-        counts = base.where("k is not null").groupBy("k").agg(F.sum("n").alias("n"))
-        quantiles = histogram_quantiles(base, fractions).select(F.col("k").alias("qk"), "q", "v")
-        part = counts.join(quantiles, F.col("k") == F.col("qk"), "left").select(
-            F.lit(field).alias("field"), F.col("k").alias("key_value"), F.col("n").alias("n_events"), F.lit(total).cast("long").alias("total_events"), "q", "v")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def heavy_keys(rows: DataFrame, fields: Sequence[str], event: str, value: str, share: float = 0.02) -> DataFrame:
-    """``(field, key_value)``: keys with at least ``share`` of all distinct events."""
-    profile = key_profile(rows, fields, event, value)
-    return profile.where(F.col("n_events") >= F.lit(share) * F.col("total_events")).select("field", "key_value").distinct()
+    counts distinct events whatever their keys. All fields share one scan and each round."""
+    events = materialize(key_events(rows, fields, event, value), "skew-events")
+    total = events.where(F.col("f") == len(fields)).count()
+    # field and key as one text: the number of the field, a blank, the key
+    base = events.where((F.col("f") < len(fields)) & F.col("k").isNotNull()).select(F.concat_ws(" ", "f", "k").alias("k"), "v", F.lit(1).cast("long").alias("n"))
+    counts = base.groupBy("k").agg(F.sum("n").alias("n"))
+    quantiles = histogram_quantiles(base, fractions).select(F.col("k").alias("qk"), "q", "v")
+    name = F.element_at(F.array(*map(F.lit, fields)), F.substring_index("k", " ", 1).cast("int") + 1)
+    return counts.join(quantiles, F.col("k") == F.col("qk"), "left").select(
+        name.alias("field"), F.expr("substring(k, instr(k, ' ') + 1)").alias("key_value"), F.col("n").alias("n_events"), F.lit(total).cast("long").alias("total_events"), "q", "v")
+
+
+def heavy_keys(rows: DataFrame, fields: Sequence[str], event: str, share: float = 0.02) -> DataFrame:
+    """``(field, key_value, n_events)``: non-null keys with at least ``share`` of all distinct events, events of the null key included
+    in these. No events, no keys."""
+    spark = rows.sparkSession
+    events = materialize(key_events(rows, fields, event).select("f", "k"), "skew-events")
+    least = share * events.where(F.col("f") == len(fields)).count()
+    hashed = events.where((F.col("f") < len(fields)) & F.col("k").isNotNull()).select("f", "k", F.xxhash64("k").alias("h"))
+    found, open_ = [], None
+    for bits in range(KEY_DIGIT, 65, KEY_DIGIT):
+        inside = hashed if open_ is None else hashed.join(F.broadcast(open_), (F.col("f") == F.col("of")) & (F.shiftrightunsigned("h", 64 - bits + KEY_DIGIT) == F.col("or")), "left_semi")  # fewer than fields / share ranges
+        ranges = inside.groupBy("f", F.shiftrightunsigned("h", 64 - bits).alias("r")).agg(F.count("*").alias("n"), F.min("k").alias("a"), F.max("k").alias("b"))
+        kept = ranges.where(F.col("n") >= least).collect()  # fewer than fields / share rows
+        found += [(r.f, r.a, r.n) for r in kept if r.a == r.b]
+        several = [(r.f, r.r) for r in kept if r.a != r.b]
+        if not several:
+            break
+        open_ = spark.createDataFrame(several, "of int, or long")
+    else:  # keys that share all bits of their hash
+        same = hashed.join(F.broadcast(open_), (F.col("f") == F.col("of")) & (F.col("h") == F.col("or")), "left_semi")
+        found += [tuple(r) for r in same.groupBy("f", "k").count().where(F.col("count") >= least).collect()]
+    return spark.createDataFrame([(fields[f], k, n) for f, k, n in found], "field string, key_value string, n_events long")

@@ -146,8 +146,9 @@ QUERIES = {
     "extract_calls": lambda s, d: parse.calls_of(parse.parsed(table(s, d, "files"))),
     "language_stats": lambda s, d: parse.availability(s),
     "incremental_index": _incremental,
-    "p1_found": lambda s, d: skew.heavy_keys(table(s, d, "calls"), CALL_KEYS, "seq", "line_number"),
+    "p1_found": lambda s, d: skew.heavy_keys(table(s, d, "calls"), CALL_KEYS, "seq").select("field", "key_value"),
     "p1_key_quantiles": lambda s, d: skew.key_profile(table(s, d, "calls"), CALL_KEYS, "seq", "line_number", QUARTILES),
+    "p1_key_times": lambda s, d: skew.key_profile(table(s, d, "calls").withColumn("at", F.unix_micros(F.col("indexed_at").cast("timestamp"))), CALL_KEYS, "seq", "at", (0.5,)),
     "p6_found": lambda s, d: snapshots.snapshot_changes(table(s, d, "nodes")),
     "p6_changed_values": lambda s, d: snapshots.changed_values(table(s, d, "nodes")),
 }
@@ -158,14 +159,15 @@ _PROFILE = """
 with c as (select distinct {f} as k, seq from calls where seq is not null),
 n as (select k, count(*) as n from c where k is not null group by k),
 t as (select count(distinct seq) as total from calls),
-v as (select k, seq, min(line_number) as v from (select {f} as k, seq, line_number from calls where seq is not null and line_number is not null) group by k, seq),
-q as (select k, unnest([0.25, 0.5, 0.9]::double[]) as q, unnest(quantile_disc(v, [0.25, 0.5, 0.9]))::bigint as v from v group by k)
+v as (select k, seq, min(x) as v from (select {f} as k, seq, {x} as x from calls where seq is not null and {x} is not null) group by k, seq),
+q as (select k, unnest({q}::double[]) as q, unnest(quantile_disc(v, {q}))::bigint as v from v group by k)
 select '{f}' as field, n.k as key_value, n.n as n_events, t.total as total_events, q.q as q, q.v as v
 from n cross join t left join q on q.k = n.k"""
 ORACLES["p1_found"] = " union all ".join(f"""
 select '{f}' as field, {f} as key_value from calls where {f} is not null group by {f}
 having count(distinct seq) >= 0.02 * (select count(distinct seq) from calls)""" for f in CALL_KEYS)
-ORACLES["p1_key_quantiles"] = " union all ".join(f"select * from ({_PROFILE.format(f=f)})" for f in CALL_KEYS)
+ORACLES["p1_key_quantiles"] = " union all ".join(f"select * from ({_PROFILE.format(f=f, x='line_number', q=list(QUARTILES))})" for f in CALL_KEYS)
+ORACLES["p1_key_times"] = " union all ".join(f"select * from ({_PROFILE.format(f=f, x='epoch_us(indexed_at)', q=[0.5])})" for f in CALL_KEYS)
 _SNAPSHOTS = r"""
 with r as (select snapshot_id, nfc_normalize(regexp_replace(replace(path, chr(92), '/'), '^(\./+)+', '')) as path, lower(hash) as hash, is_file, loaded_at
            from nodes where snapshot_id is not null and path is not null),

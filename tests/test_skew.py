@@ -45,13 +45,26 @@ def test_quantiles_property(spark, data):
 
 def test_heavy_keys_count_distinct_events_and_the_null_key_in_the_total(spark, rows):
     data = [("big", "f1", n, 1) for n in range(49)] + [("big", "f1", 0, 1)] * 100 + [("one", "f2", 49, 1)] + [(None, "f3", n, 1) for n in range(50, 100)]
-    got = rows(skew.heavy_keys(_frame(spark, data), ("callee", "file_path"), "seq", "line_number", 0.02))
-    assert got == [("callee", "big"), ("file_path", "f1"), ("file_path", "f3")]
+    got = rows(skew.heavy_keys(_frame(spark, data), ("callee", "file_path"), "seq", 0.02))
+    assert got == [("callee", "big", 49), ("file_path", "f1", 49), ("file_path", "f3", 50)]
+
+
+def test_heavy_keys_are_found_in_ranges_that_hold_several_keys(spark, monkeypatch):
+    rng = random.Random(4)
+    data = [(f"k{int(rng.paretovariate(0.7)) % 40}", f"f{n % 3}", n, 1) for n in range(1500)]
+    monkeypatch.setattr(skew, "KEY_DIGIT", 2)  # 4 ranges in the first round
+    got = {tuple(r) for r in skew.heavy_keys(_frame(spark, data), ("callee", "file_path"), "seq", 0.03).collect()}
+    counts = defaultdict(set)
+    for callee, path, seq, _ in data:
+        counts["callee", callee].add(seq)
+        counts["file_path", path].add(seq)
+    assert got == {(*k, len(v)) for k, v in counts.items() if len(v) >= 45} and len(got) > 4
 
 
 def test_empty_table(spark, rows):
     empty = spark.createDataFrame([], SCHEMA)
-    assert rows(skew.heavy_keys(empty, ("callee",), "seq", "line_number")) == []
+    assert rows(skew.heavy_keys(empty, ("callee",), "seq")) == []
+    assert rows(skew.key_profile(empty, ("callee", "file_path"), "seq", "line_number")) == []
 
 
 def test_doubles_are_refused(spark):

@@ -48,10 +48,18 @@ def verify(files: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.join(own, "path", "left").select("path", F.coalesce(F.lower("hash") == F.col("own"), F.lit(False)).alias("verified"))
 
 
-def file_text(files: DataFrame) -> DataFrame:
-    """``(path, document)``: what is embedded for a file."""
+def file_text(files: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """``(path, document, has_summary)``: what is embedded for a file. ``summaries`` has (path, summary), of several for one
+    path the one that sorts last counts; an empty summary leaves no line but is one, a null summary is none."""
     body = text_of(F.col("content"))
-    return files.where(body.isNotNull()).select("path", F.concat_ws("\n", F.concat(F.lit("# File: "), F.col("path")), body).alias("document")).distinct()
+    rows = files.where(body.isNotNull()).select("path", body.alias("body"))
+    if summaries is None:
+        rows = rows.withColumn("summary", F.lit(None).cast("string"))
+    else:
+        known = summaries.where("summary is not null").groupBy(F.col("path").alias("spath")).agg(F.max("summary").alias("summary"))
+        rows = rows.join(known, F.col("path") == F.col("spath"), "left")
+    line = F.when(F.length("summary") > 0, F.concat(F.lit("# Summary: "), F.col("summary")))
+    return rows.select("path", F.concat_ws("\n", F.concat(F.lit("# File: "), F.col("path")), line, F.col("body")).alias("document"), F.col("summary").isNotNull().alias("has_summary")).distinct()
 
 
 def strip_hash_lines(text: Column) -> Column:

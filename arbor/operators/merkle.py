@@ -9,11 +9,12 @@ its directories only, so the work falls with every step.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import children, current, drop_path, materialize, publish
 from .snapshots import normalized_nodes
 
 ROOT = "."
@@ -83,22 +84,21 @@ def file_counts(nodes: DataFrame) -> DataFrame:
 
 
 def save_snapshot(rows: DataFrame, path: str) -> None:
-    """Parquet, in a new folder that takes the old one's place only when it is complete."""
-    from ..storage import drop_path
-
-    spark, fresh = rows.sparkSession, path + ".next"
-    drop_path(spark, fresh)
-    rows.write.parquet(fresh)
-    jvm = spark.sparkContext._jvm
-    a, b = jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(path)
-    system = b.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    system.delete(b, True)
-    if not system.rename(a, b):
-        raise OSError(f"can't move {fresh} to {path}")
+    """Parquet in a folder of its own below ``path``; it becomes the current one when it is complete, and the one
+    before is kept until then. A run that ends early leaves the old one in force."""
+    spark, name, before = rows.sparkSession, uuid.uuid4().hex, current(rows.sparkSession, path)
+    rows.write.parquet(f"{path}/{name}")
+    publish(spark, path, {"name": name})
+    for old in children(spark, path):
+        if old not in (name, before and before["name"], "current"):
+            drop_path(spark, f"{path}/{old}")
 
 
 def load_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    state = current(spark, path)
+    if state is None:
+        raise FileNotFoundError(f"no snapshot at {path}")
+    return spark.read.parquet(f"{path}/{state['name']}")
 
 
 def to_nested(rows: list[dict]) -> dict:

@@ -77,6 +77,11 @@ def _search_code(s, d):
     return vectors.search(vectors.embed(model, rows), vectors.embed(model, asked).select("query_id", F.col("embedding").alias("vector")), 5)
 
 
+def _summaries(s, d):
+    """The name of the first entity of each file as its summary."""
+    return table(s, d, "entities").where("file_path is not null and seq is not null").groupBy(F.col("file_path").alias("path")).agg(F.min_by(F.coalesce("name", F.lit("")), F.struct("seq", "id")).alias("summary"))
+
+
 def _export(s, d):
     return graph.export(_edges(s, d), table(s, d, "entities"), graph.file_dependencies(graph.build_global_edges(table(s, d, "calls"), table(s, d, "entities"))))
 
@@ -100,7 +105,8 @@ QUERIES = {
     "filter_skip_dirs": lambda s, d: files.unskipped_paths(table(s, d, "files")),
     "content_hash": lambda s, d: files.content_hashes(table(s, d, "files")),
     "text_lengths": lambda s, d: files.text_lengths(table(s, d, "files")),
-    "file_text": lambda s, d: files.file_text(table(s, d, "files")),
+    "file_text": lambda s, d: files.file_text(table(s, d, "files")).select("path", "document"),
+    "file_text_summaries": lambda s, d: files.file_text(table(s, d, "files"), _summaries(s, d)),
     "strip_hash_lines": lambda s, d: files.code_without_comments(table(s, d, "files")),
     "verify_file": lambda s, d: files.verify(table(s, d, "files"), _last_snapshot(table(s, d, "nodes"))),
     "merkle_dir_hash": lambda s, d: merkle.directory_hashes(merkle.snapshot_files(table(s, d, "nodes"))),
@@ -261,6 +267,8 @@ ORACLES |= {
     "content_hash": "select distinct path, sha256(content) as hash, octet_length(content)::bigint as size from files",
     "text_lengths": f"select distinct path, length(coalesce({_TEXT}, ''))::bigint as n_chars, len(string_split(coalesce({_TEXT}, ''), chr(10)))::bigint as n_lines from files",
     "file_text": f"select distinct path, '# File: ' || path || chr(10) || {_TEXT} as document from files where content is not null",
+    "file_text_summaries": f"""with s as (select file_path, min_by(coalesce(name, ''), (seq, id)) as summary from entities where file_path is not null and seq is not null group by file_path)
+        select distinct path, concat_ws(chr(10), '# File: ' || path, '# Summary: ' || nullif(summary, ''), {_TEXT}) as document, summary is not null as has_summary from files left join s on file_path = path where content is not null""",
     "strip_hash_lines": f"select distinct path, {_STRIP.format(t=_TEXT)} as code from files where content is not null",
     "verify_file": f"{_LAST} select last.path, coalesce(last.hash = f.hash, false) as verified from last left join (select distinct path, sha256(content) as hash from files where content is not null) f on f.path = last.path",
     "merkle_dir_hash": f"{_MERKLE} {_MADE}",

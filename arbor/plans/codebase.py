@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import context, entities, files, graph, merkle, parse, vectors
-from ..operators.merkle import save_snapshot
 from ..session import tuned
 from ..sources.tree import scan_tree
 from . import pipeline
@@ -24,13 +23,12 @@ class Codebase:
     def table(self, name: str) -> DataFrame:
         return pipeline.tables(self.spark, self.store)[name]
 
-    def index(self, force: bool = False) -> dict:
-        return pipeline.index_codebase(self.spark, self.root, self.store, force, self.embedder)
+    def index(self, force: bool = False, summaries: DataFrame | None = None) -> dict:
+        return pipeline.index_codebase(self.spark, self.root, self.store, force, self.embedder, summaries)
 
     def reset(self) -> None:
         """Empties every table."""
-        for name, schema in pipeline.TABLES.items():
-            save_snapshot(self.spark.createDataFrame([], schema), f"{self.store}/{name}")
+        pipeline.reset(self.spark, self.store)
 
     # snapshots
     def changed_files(self) -> DataFrame:
@@ -109,7 +107,8 @@ class Codebase:
 
     # vectors
     def model(self):
-        return self.embedder or vectors.fit_embedder(self.table("file_vectors"))
+        """The model of the stored vectors; before the first run, one of no texts."""
+        return self.embedder or pipeline.embedder_of(self.spark, self.store) or vectors.fit_embedder(self.table("file_vectors"))
 
     def _search(self, rows: DataFrame, question: str, k: int) -> DataFrame:
         asked = vectors.embed(self.model(), self.spark.createDataFrame([(question,)], "document string"))

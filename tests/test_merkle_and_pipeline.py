@@ -82,3 +82,70 @@ def test_index_and_increments(spark, tmp_path, rows):
     assert all(len(r.embedding) == 384 for r in tables["file_vectors"].collect()) and tables["file_vectors"].count() == 3
     forced = pipeline.index_codebase(spark, root, store, force=True)
     assert forced["entities_updated"] == 6
+
+
+def test_a_run_that_ends_between_two_tables_changes_nothing(spark, tmp_path, rows, monkeypatch):
+    root, store = str(tmp_path / "src"), str(tmp_path / "store")
+    for p, text in C_FILES.items():
+        _write(root, p, text)
+    pipeline.index_codebase(spark, root, store)
+    before = {name: rows(df.drop("embedding")) for name, df in pipeline.tables(spark, store).items()}
+    _write(root, "math_ops.c", "int sub(int a) {\n    return a;\n}\n")
+
+    def fail(*_):
+        raise OSError("lost")
+
+    publish = pipeline.publish
+    monkeypatch.setattr(pipeline, "publish", fail)
+    try:
+        pipeline.index_codebase(spark, root, store)
+    except OSError:
+        pass
+    assert {name: rows(df.drop("embedding")) for name, df in pipeline.tables(spark, store).items()} == before
+    monkeypatch.setattr(pipeline, "publish", publish)
+    assert pipeline.index_codebase(spark, root, store)["modified"] == 1
+    tables = pipeline.tables(spark, store)
+    assert {r.id for r in tables["entities"].collect()} == {"math_ops.c::sub", "util/__init__.py::A", "util/__init__.py::run", "util/__init__.py::twin", "util/__init__.py::helper"}
+    assert len([d for d in os.listdir(store) if d.startswith("version-")]) == 2
+
+
+def test_vectors_of_later_runs_are_of_the_first_runs_model(spark, tmp_path):
+    from arbor.plans.codebase import Codebase
+
+    root, store = str(tmp_path / "src"), str(tmp_path / "store")
+    for p, text in C_FILES.items():
+        _write(root, p, text)
+    code = Codebase(spark, root, store)
+    code.index()
+    kept = {r.id: list(r.embedding) for r in code.table("entity_vectors").collect()}
+    _write(root, "other.py", "def walk(tree):\n    return [walk(x) for x in tree]\n" * 20)
+    code.index()
+    again = {r.id: list(r.embedding) for r in code.table("entity_vectors").collect()}
+    assert all(again[i] == v for i, v in kept.items()) and "other.py::walk" in again
+    found = code.search_code(code.table("entity_vectors").where("id = 'util/__init__.py::helper'").first().document, 1).first()
+    assert found.id == "util/__init__.py::helper" and found.distance == 0
+    found = code.search_code(code.table("entity_vectors").where("id = 'other.py::walk'").first().document, 1).first()
+    assert found.id == "other.py::walk" and found.distance == 0
+
+
+def test_summaries(spark, tmp_path):
+    root, store = str(tmp_path / "src"), str(tmp_path / "store")
+    _write(root, "main.c", "int main(void) {\n    return 0;\n}\n")
+    _write(root, "utils.c", "int f(void) {\n    return 0;\n}\n")
+    pipeline.index_codebase(spark, root, store, summaries=spark.createDataFrame([("main.c", "Starts all"), ("none.c", "x"), ("utils.c", None)], "path string, summary string"))
+    got = {r.file_path: (r.has_summary, r.document.split("\n")[1]) for r in pipeline.tables(spark, store)["file_vectors"].collect()}
+    assert got == {"main.c": (True, "# Summary: Starts all"), "utils.c": (False, "int f(void) {")}
+
+
+def test_saved_snapshots_are_swapped_whole(spark, tmp_path, rows, monkeypatch):
+    path = str(tmp_path / "snap")
+    at = lambda *data: spark.createDataFrame(list(data), "path string, hash string")
+    for n in range(4):
+        merkle.save_snapshot(at(("a", str(n))), path)
+        assert rows(merkle.load_snapshot(spark, path)) == [("a", str(n))]
+    monkeypatch.setattr(merkle, "publish", lambda *_: 1 / 0)
+    try:
+        merkle.save_snapshot(at(("b", "1")), path)
+    except ZeroDivisionError:
+        pass
+    assert rows(merkle.load_snapshot(spark, path)) == [("a", "3")]

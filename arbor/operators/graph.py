@@ -78,16 +78,33 @@ def neighbours(edges: DataFrame, node: str) -> DataFrame:
     return out.unionAll(edges.where(F.col("dst") == node).select(F.lit("called_by").alias("direction"), F.col("src").alias("id")))
 
 
-def entity_context(edges: DataFrame, entities: DataFrame) -> DataFrame:
-    """``(id, name, type, file_path, lines, calls, called_by)``: neighbours' names, sorted and joined with commas."""
-    own = keep_last(entities).select("id", "name", "type", "file_path", "start_line", "end_line")
-    names = own.select(F.col("id").alias("nid"), F.col("name").alias("other"))
-    joined = lambda near, far: edges.join(names, F.col(far) == F.col("nid")).groupBy(F.col(near).alias("k")).agg(F.array_join(F.sort_array(F.collect_set("other")), ",").alias("list"))
-    calls = joined("src", "dst").select(F.col("k").alias("k1"), F.col("list").alias("calls"))
-    callers = joined("dst", "src").select(F.col("k").alias("k2"), F.col("list").alias("called_by"))
-    rows = own.join(calls, F.col("id") == F.col("k1"), "left").join(callers, F.col("id") == F.col("k2"), "left")
-    lines = F.concat(F.coalesce(F.col("start_line").cast("string"), F.lit("?")), F.lit("-"), F.coalesce(F.col("end_line").cast("string"), F.lit("?")))
-    return rows.select("id", "name", "type", "file_path", lines.alias("lines"), F.coalesce("calls", F.lit("")).alias("calls"), F.coalesce("called_by", F.lit("")).alias("called_by"))
+def entity_neighbours(edges: DataFrame, entities: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """``(id, direction, other, name, file)``: one row per callee ('calls') and caller ('called_by') of every entity, or of those in
+    ``nodes`` (id). Neighbours that are no entity are left out, unknown nodes have no row."""
+    own = keep_last(entities).select(F.col("id").alias("other"), "name", F.col("file_path").alias("file"))
+    both = edges.select(F.col("src").alias("id"), F.lit("calls").alias("direction"), F.col("dst").alias("other")).unionAll(
+        edges.select(F.col("dst").alias("id"), F.lit("called_by").alias("direction"), F.col("src").alias("other")))
+    if nodes is not None:
+        both = both.join(nodes.select("id").distinct(), "id", "left_semi")
+    return both.join(own, "other").select("id", "direction", "other", "name", "file").distinct()
+
+
+def entity_context(edges: DataFrame, entities: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """``(id, name, type, file_path, lines, parent_class, calls, called_by)``: neighbours as arrays of {name, file}, sorted. An
+    entity's row holds all its neighbours; ``entity_neighbours`` has them row by row."""
+    own = keep_last(entities).select("id", "name", "type", "file_path", "start_line", "end_line", "parent_class")
+    if nodes is not None:
+        own = own.join(nodes.select("id").distinct(), "id", "left_semi")
+    near = entity_neighbours(edges, entities, nodes)
+    side = lambda d: F.array_sort(F.collect_list(F.when(F.col("direction") == d, F.struct("name", "file")))).alias(d)
+    lists = near.groupBy(F.col("id").alias("k")).agg(side("calls"), side("called_by"))
+    none = F.array().cast("array<struct<name:string,file:string>>")
+    return own.join(lists, F.col("id") == F.col("k"), "left").select("id", "name", "type", "file_path", lines_of().alias("lines"), "parent_class", F.coalesce("calls", none).alias("calls"), F.coalesce("called_by", none).alias("called_by"))
+
+
+def lines_of():
+    """'start-end', with '?' for what is not known."""
+    return F.concat(F.coalesce(F.col("start_line").cast("string"), F.lit("?")), F.lit("-"), F.coalesce(F.col("end_line").cast("string"), F.lit("?")))
 
 
 def impact(edges: DataFrame, seeds: DataFrame | None = None, depth: int = IMPACT_DEPTH) -> DataFrame:
@@ -106,10 +123,11 @@ def impact(edges: DataFrame, seeds: DataFrame | None = None, depth: int = IMPACT
     return seen.where("id <> seed")
 
 
-def impact_by_file(edges: DataFrame, depth: int = IMPACT_DEPTH) -> DataFrame:
-    """``(changed_file, file_path, n_entities, names)``: what a change of a file reaches, by file. A file's own entities
-    count if another one of its entities reaches them."""
-    pairs = impact(edges, None, depth).select(file_of(F.col("seed")).alias("changed_file"), "id").distinct()
+def impact_by_file(edges: DataFrame, depth: int = IMPACT_DEPTH, path: str | None = None) -> DataFrame:
+    """``(changed_file, file_path, n_entities, names)``: what a change of a file (of ``path``, or of each) reaches, by file. A file's
+    own entities count if another one of its entities reaches them."""
+    seeds = None if path is None else edges.select(F.col("dst").alias("seed")).where(file_of(F.col("seed")) == path)
+    pairs = impact(edges, seeds, depth).select(file_of(F.col("seed")).alias("changed_file"), "id").distinct()
     named = pairs.select("changed_file", file_of(F.col("id")).alias("file_path"), F.regexp_extract("id", r"([^:]*)$", 1).alias("name"))
     return named.groupBy("changed_file", "file_path").agg(F.count("*").alias("n_entities"), F.array_join(F.sort_array(F.collect_set("name")), ",").alias("names"))
 
@@ -198,7 +216,7 @@ def statistics(edges: DataFrame, entities: DataFrame) -> DataFrame:
 
 def export(edges: DataFrame, entities: DataFrame, dependencies: DataFrame) -> DataFrame:
     """``(section, json)`` lines: entities, calls and file dependencies of the graph, for df.write.text or json."""
-    own = keep_last(entities).select(F.lit("entities").alias("section"), F.to_json(F.struct("id", "name", "type", F.col("file_path").alias("file"), "start_line", "end_line")).alias("json"))
-    calls = edges.select(F.lit("calls").alias("section"), F.to_json(F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "line")).alias("json"))
+    own = keep_last(entities).select(F.lit("entities").alias("section"), F.to_json(F.struct("id", "name", "type", F.col("file_path").alias("file"), "start_line", "end_line", "parent_class"), {"ignoreNullFields": "false"}).alias("json"))
+    calls = edges.select(F.lit("calls").alias("section"), F.to_json(F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "line"), {"ignoreNullFields": "false"}).alias("json"))
     files = dependencies.select(F.lit("file_dependencies").alias("section"), F.to_json(F.struct(F.col("from_file").alias("from"), F.col("to_file").alias("to"), "type")).alias("json"))
     return own.unionAll(calls).unionAll(files)

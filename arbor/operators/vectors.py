@@ -96,14 +96,18 @@ def statistics(entity_vectors: DataFrame, file_vectors: DataFrame) -> DataFrame:
 
 
 def fit_embedder(texts: DataFrame, text_col: str = "document"):
-    """Hashing TF-IDF of DIM dimensions, normalised. Texts stay distributed; only DIM weights reach the driver."""
+    """Hashing TF-IDF of DIM dimensions, normalised. Texts stay distributed; only DIM weights reach the driver. Without
+    texts all weights are equal."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 
+    known = texts.where(F.col(text_col).isNotNull()).select(text_col)
+    if known.isEmpty():
+        known = texts.sparkSession.createDataFrame([("",)], f"{text_col} string")
     return Pipeline(stages=[
         RegexTokenizer(inputCol=text_col, outputCol="_w", pattern=r"[^\p{L}\p{N}]+", minTokenLength=1),
         HashingTF(inputCol="_w", outputCol="_tf", numFeatures=DIM), IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_v"),
-    ]).fit(texts.where(F.col(text_col).isNotNull()).select(text_col))
+    ]).fit(known)
 
 
 def embed(model, texts: DataFrame, text_col: str = "document") -> DataFrame:

@@ -91,6 +91,18 @@ def _context(s, d):
     return context.minimal_context(hits, _edges(s, d), table(s, d, "entities"))
 
 
+def _question_contexts(s, d):
+    """Vectors of entities as questions: ids whose digest is divisible by 20, against all rows."""
+    rows = table(s, d, "entity_vectors")
+    asked = vectors.keep_last_vector(rows.select("id", "embedding")).where("size(embedding) = 384 and conv(substring(md5(id), 1, 8), 16, 10) % 20 = 0")
+    return context.question_contexts(asked.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), rows, _edges(s, d), table(s, d, "entities"))
+
+
+def _entity_context(s, d):
+    rows = graph.entity_context(_edges(s, d), table(s, d, "entities"))
+    return rows.withColumns({c: F.to_json(c) for c in ("calls", "called_by")})
+
+
 def _incremental(s, d):
     nodes = table(s, d, "nodes")
     last = nodes.agg(F.max("snapshot_id").alias("last"))
@@ -128,9 +140,11 @@ QUERIES = {
     "build_edges_global": lambda s, d: graph.build_global_edges(table(s, d, "calls"), table(s, d, "entities")),
     "file_deps": lambda s, d: graph.file_dependencies(graph.build_global_edges(table(s, d, "calls"), table(s, d, "entities"))),
     "entity_deps": lambda s, d: graph.degrees(_edges(s, d)),
-    "entity_context": lambda s, d: graph.entity_context(_edges(s, d), table(s, d, "entities")),
+    "entity_context": _entity_context,
+    "entity_neighbours": lambda s, d: graph.entity_neighbours(_edges(s, d), table(s, d, "entities")),
     "impact_depth3": lambda s, d: graph.impact(_edges(s, d)),
     "impact_by_file": lambda s, d: graph.impact_by_file(_edges(s, d)),
+    "change_report": lambda s, d: context.change_report(_edges(s, d)),
     "call_chain": lambda s, d: graph.call_chains(_edges(s, d), _chain_pairs(s, d)),
     "scc": lambda s, d: graph.components(_edges(s, d), entities.keep_last(table(s, d, "entities"))),
     "graph_stats": lambda s, d: graph.statistics(_edges(s, d), table(s, d, "entities")),
@@ -145,9 +159,11 @@ QUERIES = {
     "search_code": _search_code,
     "minimal_context": _context,
     "token_estimate": lambda s, d: context.token_estimates(table(s, d, "entity_vectors")),
-    "token_totals": lambda s, d: context.token_totals(table(s, d, "entity_vectors"), table(s, d, "files")),
+    "question_contexts": _question_contexts,
+    "token_totals": lambda s, d: context.token_totals(_question_contexts(s, d), table(s, d, "files")),
     "project_summary": lambda s, d: context.summary(table(s, d, "files"), table(s, d, "entities"), _edges(s, d)),
     "file_tree_top5": lambda s, d: context.file_tree(table(s, d, "files")),
+    "file_tree_depth3": lambda s, d: context.file_tree(table(s, d, "files"), 5, 3),
     "parse_entities": lambda s, d: parse.entities_of(parse.parsed(table(s, d, "files"))),
     "extract_calls": lambda s, d: parse.calls_of(parse.parsed(table(s, d, "files"))),
     "language_stats": lambda s, d: parse.availability(s),
@@ -224,10 +240,20 @@ _IMPACT = """walk as (select distinct dst as seed, dst as id, 0 as depth from ed
   union select w.seed, e.src, w.depth + 1 from walk w join edges e on e.dst = w.id where w.depth < 3),
 imp as (select distinct seed, id from walk where id <> seed)"""
 _FILE_OF = r"regexp_extract({0}, '^(.*)::[^:]*$', 1)"
-_NEAR = """calls_of as (select src as k, string_agg(distinct name, ',' order by name) as list from edges join ent on id = dst group by src),
-callers_of as (select dst as k, string_agg(distinct name, ',' order by name) as list from edges join ent on id = src group by dst),
-near as (select id, name, type, file_path, coalesce(start_line::varchar, '?') || '-' || coalesce(end_line::varchar, '?') as lines, coalesce(c.list, '') as calls, coalesce(b.list, '') as called_by
-  from ent left join calls_of c on c.k = id left join callers_of b on b.k = id)"""
+_NEAR = """near as (select distinct id, direction, other, name, file from (select src as id, 'calls' as direction, dst as other from edges union all select dst, 'called_by', src from edges)
+  join (select id as other, name, file_path as file from ent) using (other)),
+first3 as (select id, direction, string_agg('- ' || name, ', ' order by name, file, other) as list from near qualify_ where r <= 3 group by id, direction)""".replace(
+    "near qualify_", "(select *, row_number() over (partition by id, direction order by name, file, other) as r from near)")
+_SPAN = "coalesce(start_line::varchar, '?') || '-' || coalesce(end_line::varchar, '?')"
+_CONTEXT = f"""parts as (select ent.id, concat_ws(chr(10), chr(10) || '## ' || upper(type[1]) || lower(type[2:]) || ': ' || name, 'File: ' || file_path || ' (lines ' || {_SPAN} || ')', 'Calls: ' || c.list, 'Called by: ' || b.list,
+  chr(10) || repeat('`', 3) || 'python', {_STRIP.format(t='v.document')}, repeat('`', 3) || chr(10)) as context
+  from (select id, max(document) as document from entity_vectors where id is not null group by id) v join ent on ent.id = v.id
+  left join first3 c on c.id = ent.id and c.direction = 'calls' left join first3 b on b.id = ent.id and b.direction = 'called_by' where v.document is not null and name is not null)"""
+_ASKED = """v as (select id, max(embedding) as e from entity_vectors where id is not null group by id), u as (select * from v where len(e) = 384),
+hits as (select q.id as query_id, u.id as id, list_sum(list_transform(list_zip(q.e, u.e), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))) as exact
+  from u q, u where ('0x' || substr(md5(q.id), 1, 8))::bigint % 20 = 0 qualify row_number() over (partition by q.id order by exact, u.id) <= 5),
+asked as (select query_id, count(*)::bigint as n_hits, concat_ws(chr(10), '# Relevant Code Context' || chr(10), string_agg(context, chr(10) order by round(exact, 6), id)) as context
+  from hits left join parts using (id) group by query_id)"""
 _REACH = """reach as (select distinct src, dst from edges where src <> dst union select r.src, e.dst from reach r join edges e on e.src = r.dst),
 both_ as (select a.src as id, a.dst as other from reach a join reach b on a.src = b.dst and a.dst = b.src),
 comp as (select ent.id, coalesce(least(ent.id, min(other)), ent.id) as component from ent left join both_ on both_.id = ent.id group by ent.id)"""
@@ -254,8 +280,9 @@ _LAST = _FILES + ", last as (select path, hash from sf where snapshot_id = (sele
 _KNN = """select query_id, id, distance from (select q.vec_id as query_id, x.vec_id as id, round(list_sum(list_transform(list_zip(q.embedding, x.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))), 6) as distance,
   list_sum(list_transform(list_zip(q.embedding, x.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))) as exact
   from embeddings q join embeddings x on {on} where q.vec_id % 20 = 0 qualify row_number() over (partition by q.vec_id order by exact, x.vec_id) <= {k})"""
-_TREE = f"""d as (select distinct path from files where path is not null and len(string_split(path, '/')) <= 3),
-e as (select {_PARENT} as directory, regexp_extract(path, '([^/]*)$', 1) as name from d)"""
+_TREE = """with d as (select distinct path from files where path is not null and len(string_split(path, '/')) <= {depth}),
+e as (select {parent} as directory, regexp_extract(path, '([^/]*)$', 1) as name from d)
+select directory, count(*)::bigint as n_files, array_to_string(list(name order by name)[1:5], ', ') || case when count(*) > 5 then ', ... and ' || (count(*) - 5) || ' more' else '' end as listing from e group by directory"""
 
 ORACLES |= {
     "scan_language": f"select distinct path, {_LANG} as language from files where path is not null",
@@ -292,7 +319,17 @@ ORACLES |= {
     "build_edges_global": f"with {_GLOBAL} select * from alledges",
     "file_deps": f"with {_GLOBAL} select {_FILE_OF.format('src')} as from_file, {_FILE_OF.format('dst')} as to_file, 'call' as type, count(*)::bigint as n from alledges where {_FILE_OF.format('src')} <> {_FILE_OF.format('dst')} group by all",
     "entity_deps": f"with {_EDGES} select id, sum(o)::bigint as n_calls, sum(i)::bigint as n_called_by from (select src as id, 1 as o, 0 as i from edges union all select dst, 0, 1 from edges) group by id",
-    "entity_context": f"with {_EDGES}, {_NEAR} select * from near",
+    "entity_context": f"""with {_EDGES}, {_NEAR}, lists as (select id, direction, to_json(list({{'name': name, 'file': file}} order by name, file))::varchar as list from near group by id, direction)
+        select ent.id, name, type, file_path, {_SPAN} as lines, parent_class, coalesce(c.list, '[]') as calls, coalesce(b.list, '[]') as called_by from ent
+        left join lists c on c.id = ent.id and c.direction = 'calls' left join lists b on b.id = ent.id and b.direction = 'called_by'""",
+    "entity_neighbours": f"with {_EDGES}, {_NEAR} select id, direction, other, name, file from near",
+    "change_report": f"""with recursive {_EDGES}, {_IMPACT}, p as (select distinct {_FILE_OF.format('seed')} as changed_file, id from imp),
+        f as (select changed_file, {_FILE_OF.format('id')} as file_path, count(*) as n, list(distinct regexp_extract(id, '([^:]*)$', 1)) as names from p group by all),
+        l as (select changed_file, file_path, n, file_path || ': ' || array_to_string(list_sort(names)[1:3], ', ') as line from f)
+        select changed_file, sum(n)::bigint as total_impacted_entities, count(*)::bigint as impacted_files, array_to_string(list(line order by file_path)[1:5], chr(10)) as listing from l group by changed_file""",
+    "graph_export_json": f"""with {_GLOBAL}, deps as (select distinct {_FILE_OF.format('src')} as a, {_FILE_OF.format('dst')} as b from alledges where {_FILE_OF.format('src')} <> {_FILE_OF.format('dst')})
+        select 'entities' as section, to_json({{'id': id, 'name': name, 'type': type, 'file': file_path, 'start_line': start_line, 'end_line': end_line, 'parent_class': parent_class}})::varchar as json from ent
+        union all select 'calls', to_json({{'from': src, 'to': dst, 'line': line}})::varchar from edges union all select 'file_dependencies', to_json({{'from': a, 'to': b, 'type': 'call'}})::varchar from deps""",
     "impact_depth3": f"with recursive {_EDGES}, {_IMPACT} select * from imp",
     "impact_by_file": f"""with recursive {_EDGES}, {_IMPACT}, p as (select distinct {_FILE_OF.format('seed')} as changed_file, id from imp)
         select changed_file, {_FILE_OF.format('id')} as file_path, count(*)::bigint as n_entities, string_agg(distinct regexp_extract(id, '([^:]*)$', 1), ',' order by regexp_extract(id, '([^:]*)$', 1)) as names from p group by all""",
@@ -315,17 +352,18 @@ ORACLES |= {
     "vector_stats": "select (select count(distinct id) from entity_vectors)::bigint as total_entities, (select count(distinct id) from file_vectors)::bigint as total_files, 384 as dimension",
     "vector_upsert": f"select id, case when type = 'function' then 'v2 ' || coalesce(document, '') else document end as document, type, file_path from {_VEC}",
     "vector_delete_file": f"{_LAST} select id, file_path from {_VEC} where file_path in (select path from last)",
-    "minimal_context": f"""with {_EDGES}, {_NEAR} select near.id, concat_ws(chr(10), '## ' || upper(type[1]) || lower(type[2:]) || ': ' || name, 'File: ' || file_path || ' (lines ' || lines || ')',
-        case when calls <> '' then 'Calls: ' || array_to_string(string_split(calls, ',')[1:3], ', ') end, case when called_by <> '' then 'Called by: ' || array_to_string(string_split(called_by, ',')[1:3], ', ') end,
-        repeat('`', 3) || 'python', {_STRIP.format(t='v.document')}, repeat('`', 3)) as context
-        from (select id, document as document from (select id, max(document) as document from entity_vectors where id is not null group by id)) v join near on near.id = v.id where v.document is not null and near.name is not null""",
+    "minimal_context": f"with {_EDGES}, {_NEAR}, {_CONTEXT} select id, context from parts",
+    "question_contexts": f"with {_EDGES}, {_NEAR}, {_CONTEXT}, {_ASKED} select query_id, n_hits, context, (length(context) // 4)::bigint as tokens from asked",
     "token_estimate": "select id, (length(document) // 4)::bigint as tokens from (select id, max(document) as document from entity_vectors where id is not null group by id) where document is not null",
-    "token_totals": f"""with a as (select (coalesce(sum(n), 0) // 4)::bigint as naive_tokens from (select distinct path, length(coalesce({_TEXT}, '')) as n, len(string_split(coalesce({_TEXT}, ''), chr(10))) from files)),
-        b as (select coalesce(sum(length(document) // 4), 0)::bigint as optimized_tokens from (select id, max(document) as document from entity_vectors where id is not null group by id))
-        select naive_tokens, optimized_tokens, naive_tokens - optimized_tokens as savings, coalesce(round((naive_tokens - optimized_tokens)::double / nullif(naive_tokens, 0)::double * 100, 4), 0) as savings_percentage,
-        round((naive_tokens - optimized_tokens)::double / 1e6 * 0.150, 6) as dollars_saved from a, b""",
-    "project_summary": f"""with {_EDGES} select (select count(distinct path) from files)::bigint as files, count(*)::bigint as entities, {', '.join(f"count(*) filter (type = '{t}')::bigint as n_{t}" for t in ('function', 'class', 'method', 'constructor', 'struct', 'interface'))},
-        (select count(*) from edges)::bigint as calls from ent""",
-    "file_tree_top5": f"""with {_TREE} select directory, count(*)::bigint as n_files, array_to_string(list(name order by name)[1:5], ', ') || case when count(*) > 5 then ', ... and ' || (count(*) - 5) || ' more' else '' end as listing from e group by directory""",
+    "token_totals": f"""with {_EDGES}, {_NEAR}, {_CONTEXT}, {_ASKED},
+        n as (select (coalesce(sum(n), 0) // 4)::bigint as naive from (select distinct path, length(coalesce({_TEXT}, '')) as n, len(string_split(coalesce({_TEXT}, ''), chr(10))) from files)),
+        t as (select count(*)::bigint as questions, (any_value(naive) * count(*))::bigint as naive_tokens, sum(length(context) // 4)::bigint as optimized_tokens from asked, n)
+        select questions, naive_tokens, optimized_tokens, naive_tokens - optimized_tokens as savings, round((naive_tokens - optimized_tokens)::double / questions, 4) as mean_savings,
+        round((naive_tokens - optimized_tokens)::double * 100 / naive_tokens, 4) as savings_percentage, round((naive_tokens - optimized_tokens)::double / 1e6 * 0.150, 6) as dollars_saved from t""",
+    "project_summary": f"""with recursive {_EDGES}, {_REACH} select (select count(distinct path) from files)::bigint as files, count(*)::bigint as entities, {', '.join(f"count(*) filter (type = '{t}')::bigint as n_{t}" for t in context.TYPES)},
+        (select count(*) from edges)::bigint as calls, coalesce(round((select count(*) from edges)::double / nullif(count(*), 0), 6), 0) as avg_calls,
+        (select count(*) from (select component from comp group by component having count(*) > 1))::bigint as cycles from ent""",
+    "file_tree_top5": _TREE.format(depth=2, parent=_PARENT),
+    "file_tree_depth3": _TREE.format(depth=3, parent=_PARENT),
     "language_stats": "select unnest(['c', 'go', 'java', 'javascript', 'python']) as language, 1 as available",
 }

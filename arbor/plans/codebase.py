@@ -85,7 +85,12 @@ class Codebase:
         return graph.impact(self.edges(), self.spark.createDataFrame([(entity,)], "seed string"), depth).select("id")
 
     def impacted_by_change(self, path: str, resolve: str = "file") -> DataFrame:
-        return context.analyze_change(path, self.edges(resolve))
+        """``(changed_file, file_path, n_entities, names)``."""
+        return graph.impact_by_file(self.edges(resolve), graph.IMPACT_DEPTH, path)
+
+    def change_report(self, path: str, resolve: str = "file") -> DataFrame:
+        """Totals and the first names of the first files, one row; none if nothing is reached."""
+        return context.change_report(self.edges(resolve), path)
 
     def entity_context(self, name: str, path: str | None = None) -> DataFrame:
         """Context of the first entity of that name (and file); empty if there is none."""
@@ -93,7 +98,7 @@ class Codebase:
         if path is not None:
             rows = rows.where(F.col("file_path") == path)
         first = rows.orderBy("seq", "id").select("id").limit(1)
-        return graph.entity_context(self.edges(), self.table("entities")).join(F.broadcast(first), "id", "left_semi")  # one row
+        return graph.entity_context(self.edges(), self.table("entities"), first)
 
     def export_graph(self, path: str) -> None:
         own = self.edges("global")
@@ -128,30 +133,28 @@ class Codebase:
 
     # reports
     def answer(self, question: str, k: int = 5, use_llm: bool = False) -> dict:
-        return context.answer(question, self.table("entity_vectors"), self.edges(), self.table("entities"), self.model(), k, self.llm if use_llm else None)
+        return context.answer(question, self.table("entity_vectors"), self.edges(), self.table("entities"), self.model(), k, self.llm if use_llm else None, self.naive_tokens())
 
     def naive_tokens(self) -> int:
-        """Tokens of all tracked files, from the stored documents."""
-        prefix = F.length("file_path") + len("# File: \n")
-        row = self.table("file_vectors").agg(F.sum(F.length("document") - prefix).alias("n")).first()
+        """Tokens of all tracked files, from the stored documents without their headings."""
+        body = F.when(F.col("has_summary"), F.regexp_replace("document", r"^# File: [^\n]*\n(# Summary: [^\n]*\n)?", "")).otherwise(F.regexp_replace("document", r"^# File: [^\n]*\n", ""))
+        row = self.table("file_vectors").agg(F.sum(F.length(body)).alias("n")).first()
         return (row.n or 0) // 4
 
     def token_report(self, questions: Sequence[str]) -> dict:
         """Totals, means, percent and money saved over several questions; zeros without questions."""
-        naive, used = self.naive_tokens() * len(questions), sum(self.answer(q).get("tokens", 0) for q in questions)
+        stats = [self.answer(q)["token_stats"] for q in questions]
+        naive, used = sum(s["naive_approach"] for s in stats), sum(s["optimized_approach"] for s in stats)
         saved, n = naive - used, max(1, len(questions))
         return {
             "questions": len(questions), "naive_tokens": naive, "optimized_tokens": used, "savings": saved, "mean_savings": saved / n,
-            "savings_percentage": saved / naive * 100 if naive else 0.0, "dollars_saved": saved / 1e6 * context.PRICE,
+            "savings_percentage": saved / naive * 100 if naive else 0.0, "naive_dollars": naive / 1e6 * context.PRICE,
+            "optimized_dollars": used / 1e6 * context.PRICE, "dollars_saved": saved / 1e6 * context.PRICE,
         }
 
     def summary(self) -> str:
         """Figures and the upper levels of the tree, as text."""
-        stats = self.statistics()
-        lines = [f"Files: {self.table('snapshot').count():,}", f"Entities: {stats['total_entities']:,}", f"Calls: {stats['total_calls']:,}", f"Cycles: {stats['cycles']:,}"]
-        lines += [f"  {kind.capitalize()}: {n:,}" for kind, n in sorted(stats["by_type"].items())]
-        tree = context.file_tree(self.table("snapshot"), depth=2).orderBy("directory").collect()
-        return "\n".join(lines + [f"{r.directory}/: {r.listing}" for r in tree])
+        return context.summary_text(self.table("snapshot"), self.table("entities"), self.edges())
 
     def languages(self) -> DataFrame:
         return parse.availability(self.spark)

@@ -24,18 +24,33 @@ def test_everything_about_a_small_tree(spark, tmp_path, rows):
     assert rows(code.impacted_entities("math.c::add")) == [("math.c::factorial",), ("math.c::multiply",)]
     assert {r.file_path for r in code.impacted_by_change("math.c", resolve="global").collect()} == {"math.c", "main.c"}
     assert rows(code.file_dependencies("main.c")) == [("main.c", "math.c", "call", 1)]
-    assert code.entity_context("multiply").first().called_by == "factorial" and code.entity_context("multiply", "main.c").count() == 0
+    assert [tuple(x) for x in code.entity_context("multiply").first().called_by] == [("factorial", "math.c")] and code.entity_context("multiply", "main.c").count() == 0
     stats = code.statistics()
     assert (stats["total_entities"], stats["total_calls"], stats["cycles"], stats["entity_vectors"], stats["by_type"]) == (6, 4, 1, 6, {"function": 6})
     assert rows(code.components().groupBy("component").count().where("count > 1").select("count")) == [(2,)]
     first = code.search_code("int factorial multiply", k=2).collect()
     assert first[0].id == "math.c::factorial" and first[0].distance <= first[1].distance
     assert code.search_code("x", kind="class").count() == 0 and code.search_files("even odd", 1).first().file_path == "app/loop.py"
-    assert code.answer("factorial", use_llm=True)["question"] == "factorial"
+    told = code.answer("factorial", use_llm=True)
+    assert told["question"] == "factorial" and told["relevant_entities"][0].keys() == {"name", "type", "file", "lines"}
+    top = next(x for x in told["relevant_entities"] if x["name"] == "factorial")
+    assert top == {"name": "factorial", "type": "function", "file": "math.c", "lines": "9-11"}
+    assert told["context"].startswith("# Relevant Code Context\n\n\n## Function: ") and "\nCalls: - multiply\n\n```python\nint factorial" in told["context"]
+    stats = told["token_stats"]
+    assert stats["naive_approach"] == code.naive_tokens() == sum(os.path.getsize(os.path.join(root, p)) for p in ("math.c", "main.c", "app/loop.py")) // 4
+    assert stats["optimized_approach"] == len(told["context"]) // 4 and stats["savings"] == stats["naive_approach"] - stats["optimized_approach"]
+    asked = Codebase(spark, root, str(tmp_path / "store"), llm=lambda question, text: f"{question} in {len(text)}")
+    assert asked.answer("factorial", use_llm=True)["answer"] == f"factorial in {len(told['context'])}"
+    broken = Codebase(spark, root, str(tmp_path / "store"), llm=lambda question, text: {}["key"])
+    assert broken.answer("factorial", use_llm=True)["answer"].startswith("Error querying LLM: ")
+    report = code.change_report("math.c").first()
+    assert (report.total_impacted_entities, report.impacted_files, report.listing) == (2, 1, "math.c: factorial, multiply") and code.change_report("none").count() == 0
     report = code.token_report(["factorial", "even"])
     assert report["questions"] == 2 and report["savings"] == report["naive_tokens"] - report["optimized_tokens"]
     assert code.token_report([])["savings_percentage"] == 0.0
-    assert "Entities: 6" in code.summary() and "main.c, math.c" in code.summary()
+    text = code.summary()
+    assert "Total Entities: 6" in text and "- Functions: 6" in text and "- Average calls per entity: 0.67" in text and "- Circular dependencies: 1" in text
+    assert text.endswith("## File Structure:\n./\n  - main.c\n  - math.c\napp/\n  - loop.py")
     document = code.snapshot_json()
     assert json.loads(document)["root"]["hash"] == code.root_hash() and {r.path for r in code.load_snapshot_json(document).where("is_file").collect()} == {"math.c", "main.c", "app/loop.py"}
     assert code.verify_file("main.c", code.file_hash("main.c")) and not code.verify_file("main.c", "0") and code.file_hash("none") is None
@@ -44,4 +59,6 @@ def test_everything_about_a_small_tree(spark, tmp_path, rows):
     code.export_graph(str(tmp_path / "graph"))
     assert spark.read.json(str(tmp_path / "graph")).where("section = 'calls'").count() == 4
     code.reset()
-    assert code.table("entities").count() == 0 and code.summary().startswith("Files: 0")
+    assert code.table("entities").count() == 0 and "Total Files: 0" in code.summary()
+    nothing = code.answer("factorial")
+    assert nothing["relevant_entities"] == [] and "question" not in nothing and nothing["token_stats"]["optimized_approach"] == 0

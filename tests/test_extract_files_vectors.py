@@ -89,19 +89,26 @@ def test_upsert_delete_and_totals(spark, rows):
     assert rows(vectors.upsert(one, spark.createDataFrame([("a", "f1", "new")], table.schema))) == [("a", "f1", "new"), ("b", "f2", None)]
     assert [r.id for r in vectors.delete_files(one, spark.createDataFrame([("f1",)], "path string")).collect()] == ["b"]
     none = spark.createDataFrame([], "path string, content binary")
-    total = context.token_totals(table, none).first()
-    assert (total.naive_tokens, total.optimized_tokens, total.savings_percentage) == (0, 2, 0.0)
+    contexts = spark.createDataFrame([("q1", 10), ("q2", 5)], "query_id string, tokens long")
+    total = context.token_totals(contexts, none).first()
+    assert (total.questions, total.naive_tokens, total.optimized_tokens, total.mean_savings, total.savings_percentage) == (2, 0, 15, -7.5, 0.0)
+    some = spark.createDataFrame([("a.py", b"x" * 400), ("a.py", b"x" * 400), ("b.py", None)], none.schema)
+    total = context.token_totals(contexts, some).first()
+    assert (total.naive_tokens, total.savings, total.mean_savings, total.savings_percentage) == (200, 185, 92.5, 92.5)
+    total = context.token_totals(contexts.limit(0), some).first()
+    assert (total.questions, total.naive_tokens, total.mean_savings, total.savings_percentage) == (0, 0, 0.0, 0.0)
 
 
 def test_answer(spark):
     from arbor.operators import graph
 
-    docs = spark.createDataFrame([("f.py::add", "# function: add\nreturn the sum"), ("f.py::cut", "# function: cut\nremove the tail")], "id string, document string")
+    docs = spark.createDataFrame([("f.py::add", "# function: add\nreturn the sum", "add", "function", "f.py", 1, 2), ("f.py::cut", "# function: cut\nremove the tail", "cut", "function", "f.py", 4, None)],
+                                 "id string, document string, name string, type string, file_path string, start_line int, end_line int")
     entities = spark.createDataFrame([("f.py::add", "add", "function", "f.py", 1, 2, None, None, None, 1), ("f.py::cut", "cut", "function", "f.py", 4, 5, None, None, None, 2)],
                                      "id string, name string, type string, file_path string, start_line int, end_line int, signature string, parent_class string, docstring string, seq long")
     edges = spark.createDataFrame([("f.py::cut", "f.py::add", 5)], "src string, dst string, line int")
     model = vectors.fit_embedder(docs)
     out = context.answer("where is the sum", vectors.embed(model, docs), edges, entities, model, k=1)
-    assert out["relevant_entities"] == ["f.py::add"] and "Called by: cut" in out["context"] and out["tokens"] > 0
+    assert out["relevant_entities"] == [{"name": "add", "type": "function", "file": "f.py", "lines": "1-2"}] and "Called by: - cut" in out["context"] and out["token_stats"]["optimized_approach"] > 0
     assert context.answer("x", vectors.embed(model, docs).limit(0), edges, entities, model)["relevant_entities"] == []
-    assert context.analyze_change("f.py", edges).first().names == "cut"
+    assert graph.impact_by_file(edges, path="f.py").first().names == "cut"

@@ -208,28 +208,10 @@ class _Statements:
 
 
 _QUIET = {
-    "c": re.compile(r"""//[^\n]*|/\*[\s\S]*?\*/|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|^[ \t]*\#(?:[^\n\\]|\\[\s\S])*""", re.M),
-    "java": re.compile(r'''//[^\n]*|/\*[\s\S]*?\*/|"""[\s\S]*?"""|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*\''''),
-    "go": re.compile(r"""//[^\n]*|/\*[\s\S]*?\*/|"(?:[^"\\\n]|\\.)*"|`[^`]*`|'(?:[^'\\\n]|\\.)*'"""),
-    "javascript": re.compile(r"""//[^\n]*|/\*[\s\S]*?\*/|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`|(?<=[=(,:;!&|?{}\n])[ \t]*/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"""),
-}
-_ARGS = r"\((?:[^(){};]|\((?:[^(){};]|\([^(){};]*\))*\))*\)"
-_HEADS = {
-    "c": [("function", re.compile(r"(?<![\w.>=(,])(?:[A-Za-z_]\w*[\s*]+)+?\*?(?P<n>[A-Za-z_]\w*)\s*" + _ARGS + r"\s*(?=\{)")), ("struct", re.compile(r"\bstruct\s+(?P<n>[A-Za-z_]\w*)\s*(?=\{)"))],
-    "java": [
-        ("class", re.compile(r"\bclass\s+(?P<n>\w+)[^{};()]*(?=\{)")),
-        ("member", re.compile(r"(?<![\w.])(?P<t>(?:[\w<>\[\],.?]+\s+)*?)(?P<n>[A-Za-z_]\w*)\s*" + _ARGS + r"\s*(?:throws\s+[\w.,\s]+)?(?=\{)")),
-    ],
-    "javascript": [
-        ("class", re.compile(r"\bclass\s+(?P<n>[\w$]+)[^{};()]*(?=\{)")),
-        ("function", re.compile(r"\bfunction\b\s*\*?\s*(?P<n>[\w$]*)\s*" + _ARGS + r"\s*(?=\{)")),
-        ("member", re.compile(r"(?:(?<=[{};\n])|(?<=\*/))\s*(?P<t>(?:static\s+|async\s+|get\s+|set\s+|\*\s*)*)(?P<n>[A-Za-z_$#][\w$]*)\s*" + _ARGS + r"\s*(?=\{)")),
-    ],
-    "go": [
-        ("function", re.compile(r"\bfunc\s*(?P<r>\([^()]*\))?\s*(?P<n>[A-Za-z_]\w*)\s*(?:\[[^\]]*\])?\s*\([^{}]*?(?=\{\s*\n|\{[^\n]*\}\s*\n|\{\s*$)")),
-        ("struct", re.compile(r"\b(?P<n>[A-Za-z_]\w*)\s+struct\s*(?=\{)")),
-        ("interface", re.compile(r"\b(?P<n>[A-Za-z_]\w*)\s+interface\s*(?=\{)")),
-    ],
+    "c": re.compile(r"""//[^\n]*|/\*(?:[\s\S]*?\*/|[\s\S]*)|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|^[ \t]*\#(?:[^\n\\]|\\[\s\S])*""", re.M),
+    "java": re.compile(r'''//[^\n]*|/\*(?:[\s\S]*?\*/|[\s\S]*)|"""[\s\S]*?"""|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*\''''),
+    "go": re.compile(r"""//[^\n]*|/\*(?:[\s\S]*?\*/|[\s\S]*)|"(?:[^"\\\n]|\\.)*"|`[^`]*`|'(?:[^'\\\n]|\\.)*'"""),
+    "javascript": re.compile(r"""//[^\n]*|/\*(?:[\s\S]*?\*/|[\s\S]*)|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`|(?<=[=(,:;!&|?{}\n])[ \t]*/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"""),
 }
 _NOT_NAMES = {
     "c": frozenset("if for while switch return else do sizeof case goto".split()),
@@ -237,69 +219,219 @@ _NOT_NAMES = {
     "javascript": frozenset("if for while switch catch return else do try function new throw case typeof await yield delete void in of with super this".split()),
     "go": frozenset("if for switch return else func go defer select range case".split()),
 }
-_CALL = re.compile(r"(?<![\w$.])(new\s+)?([A-Za-z_$][\w$]*(?:\s*(?:\.|->)\s*[A-Za-z_$][\w$]*)*)\s*\(")
-_BRACE = re.compile(r"[{}]")
+#: A dotted name is taken as a whole, with the bracket behind it or not, so that no part of it is read again.
+_CALL = re.compile(r"(?<![\w$.])(new\s+)?([A-Za-z_$][\w$]*+(?:\s*+(?:\.|->)\s*+[A-Za-z_$][\w$]*+)*+)(\s*+\()?")
+_BRACKET = re.compile(r"[{}();]")
 
 
 def _blank(m: re.Match) -> str:
     return re.sub(r"[^\n]", " ", m.group())
 
 
-def _braces(lang: str, text: str) -> tuple[list[Definition], list[Call]]:
-    flat = _QUIET[lang].sub(_blank, text)
-    starts = [0] + [m.end() for m in re.finditer("\n", flat)]
-    line = lambda at: bisect.bisect_right(starts, at)
-    match: dict[int, int] = {}
-    stack = []
-    for m in _BRACE.finditer(flat):
-        if m.group() == "{":
-            stack.append(m.start())
-        elif stack:
-            match[stack.pop()] = m.start()
-    heads = []
-    for kind, pattern in _HEADS[lang]:
-        for m in pattern.finditer(flat):
-            name = m.group("n")
-            if name in _NOT_NAMES[lang] or m.end() not in match:
-                continue
-            if kind == "member" and lang == "java" and any(w in _NOT_NAMES[lang] for w in m.group("t").split()):
+class _Head(NamedTuple):
+    start: int       # of its first word
+    named: int       # of its name
+    opened: int      # of its body's brace
+    kind: str
+    name: str
+    receiver: str | None = None
+
+
+_WORD_BACK = re.compile(r"\s*([\w$]*[A-Za-z_$#])")
+_RUN_BACK = {"c": re.compile(r"[\w\s*]*"), "java": re.compile(r"[\w<>\[\],.?\s]*")}
+_JS_MODIFIER = re.compile(r"(?:(?<![\w$])(?:static|async|get|set)\s|\*)\s*\Z")
+_JS_FUNCTION = re.compile(r"(?<![\w$])function\s*\*?\s*\Z")
+_TYPE = {
+    "c": (("struct", re.compile(r"\bstruct\s+(?P<n>[A-Za-z_]\w*)\s*\Z")),),
+    "java": (("class", re.compile(r"\bclass\s+(?P<n>\w+)[^()]*\Z")),),
+    "javascript": (("class", re.compile(r"\bclass\s+(?P<n>[\w$]+)[^()]*\Z")),),
+    "go": (("struct", re.compile(r"(?:\btype\s+|(?:^|\n)[ \t]*)(?P<n>[A-Za-z_]\w*)(?:\[[^\]\n]*\])?[ \t]+struct[ \t]*\Z")), ("interface", re.compile(r"(?:\btype\s+|(?:^|\n)[ \t]*)(?P<n>[A-Za-z_]\w*)(?:\[[^\]\n]*\])?[ \t]+interface[ \t]*\Z"))),
+}
+_JAVA_THROWS = re.compile(r"\)\s*throws\s+[\w.,\s]+\Z")
+_GO_FUNC = re.compile(r"\bfunc\s*(?P<r>\([^()]*\))?\s*(?P<n>[A-Za-z_]\w*)\s*(?:\[[^\]\n]*\])?\s*(?=\()")
+_GO_RESULT = re.compile(r"[^\n{}();]+|\(|\{")
+
+
+class _Text:
+    """A blanked text of a brace language and its brackets. Every look backwards from a body stops at the
+    bracket or semicolon before its head, so reading all heads takes time in proportion to the text."""
+
+    def __init__(self, lang: str, text: str):
+        self.lang, self.flat = lang, _QUIET[lang].sub(_blank, text)
+        self.lines = [0] + [m.end() for m in re.finditer("\n", self.flat)]
+        #: The closing bracket of each opening one and the other way round; depth of braces before each brace.
+        self.match: dict[int, int] = {}
+        self.pairs: dict[int, int] | None = None
+        self.marks, self.depths, self.bodies = [], [], []
+        stacks: dict[str, list[int]] = {"{": [], "(": []}
+        depth = 0
+        for m in _BRACKET.finditer(self.flat):
+            at, ch = m.start(), m.group()
+            self.marks.append(at)
+            self.depths.append(depth)
+            if ch in "{(":
+                stacks[ch].append(at)
+            elif ch in "})" and (stack := stacks["{" if ch == "}" else "("]):
+                self.match[at] = opened = stack.pop()
+                self.match[opened] = at
+            if ch == "{":
+                self.bodies.append(at)
+                stacks["("].clear()  # no argument list goes over a brace, but for literals within it, which are no heads
+            depth += (ch == "{") - (ch == "}")
+
+    def line(self, at: int) -> int:
+        return bisect.bisect_right(self.lines, at)
+
+    def depth(self, at: int) -> int:
+        """Open braces before a position."""
+        k = bisect.bisect_left(self.marks, at)
+        if k < len(self.marks):
+            return self.depths[k]
+        return self.depths[-1] + {"{": 1, "}": -1}.get(self.flat[self.marks[-1]], 0) if self.marks else 0
+
+    def _from(self, at: int) -> int:
+        """Behind the bracket or semicolon before a position."""
+        k = bisect.bisect_left(self.marks, at)
+        return self.marks[k - 1] + 1 if k else 0
+
+    def heads(self) -> list[_Head]:
+        out = self._go_functions() if self.lang == "go" else []
+        for opened in self.bodies:
+            if opened not in self.match:
                 continue
-            start = re.compile(r"\s*").match(flat, m.start()).end()
-            heads.append((start, m.end(), match[m.end()], kind, name, m))
-    heads.sort(key=lambda h: (h[0], -h[2]))
-    found, functions, seen = [], [], set()
-    classes: list[tuple[int, int, str]] = [(h[1], h[2], h[4]) for h in heads if h[3] == "class"]
-    for start, opened, closed, kind, name, m in heads:
-        around = [c for c in classes if c[0] < start and closed <= c[1] and not (kind == "class" and c[0] == opened)]
-        inside = min(around, key=lambda c: c[1] - c[0])[2] if around else None
-        type_, parent = kind, None
-        if kind == "member":
-            if not inside or lang == "javascript" and not any(c[0] < start and flat.count("{", c[0], start) - flat.count("}", c[0], start) == 1 for c in around):
+            begin = self._from(opened)
+            before = self.flat[begin:opened]
+            for kind, pattern in _TYPE[self.lang]:
+                if m := pattern.search(before):
+                    out.append(_Head(begin + m.start(), begin + m.start("n"), opened, kind, m.group("n")))
+            if self.lang != "go" and (head := self._function(begin, before, opened)):
+                out.append(head)
+        return sorted(out, key=lambda h: (h.start, -self.match[h.opened]))
+
+    def _function(self, begin: int, before: str, opened: int) -> _Head | None:
+        if self.lang == "java" and begin and self.flat[begin - 1] == ")" and (not before.strip() or _JAVA_THROWS.match(")" + before)):
+            closed = begin - 1
+        elif begin and self.flat[begin - 1] == ")" and not before.strip():
+            closed = begin - 1
+        else:
+            return None
+        if closed not in self.match:
+            return None
+        args = self.match[closed]
+        lead = self.flat[self._from(args):args]
+        back = _WORD_BACK.match(lead[::-1])
+        if self.lang == "javascript":
+            return self._js_function(lead, back, args, opened)
+        if not back:
+            return None
+        name, named = back.group(1)[::-1], args - back.end()
+        if name in _NOT_NAMES[self.lang]:
+            return None
+        run = _RUN_BACK[self.lang].match(lead[:len(lead) - back.end()][::-1]).group()[::-1]
+        words = run.lstrip(" \t\n*" if self.lang == "c" else None)
+        start = named - len(words)
+        if self.lang == "c":
+            ahead = self.flat[start - 1 - (len(run) - len(words)):start - (len(run) - len(words))]
+            ok = re.match(r"[A-Za-z_]\w*[\s*]", words) and ahead not in tuple(".>=(,")
+            return _Head(start, named, opened, "function", name) if ok else None
+        if any(w in _NOT_NAMES["java"] for w in words.split()) or words and not words[-1].isspace():
+            return None
+        return _Head(start, named, opened, "member", name)
+
+    def _js_function(self, lead: str, back: re.Match | None, args: int, opened: int) -> _Head | None:
+        name = back.group(1)[::-1] if back else ""
+        begin = args - len(lead)
+        rest = lead[:len(lead) - back.end()] if back else lead
+        if name == "function" or (m := _JS_FUNCTION.search(rest[-200:])):
+            start = args - back.end() if name == "function" else begin + len(rest) - len(rest[-200:]) + m.start()
+            return _Head(start, args if name == "function" else args - back.end(), opened, "function", "" if name == "function" else name)
+        if not name or name in _NOT_NAMES["javascript"] or not re.match(r"[A-Za-z_$#]", name):
+            return None
+        named = args - back.end()
+        while m := _JS_MODIFIER.search(rest[-200:]):
+            rest = rest[:len(rest) - (len(rest[-200:]) - m.start())]
+        start = begin + len(rest)
+        ok = not rest.strip(" \t") and (begin == 0 or self.flat[begin - 1] in "{};") or rest.rstrip(" \t").endswith("\n")
+        return _Head(start, named, opened, "member", name) if ok else None
+
+    def _go_functions(self) -> list[_Head]:
+        out = []
+        for m in _GO_FUNC.finditer(self.flat):
+            at = self._pair(m.end())
+            while at is not None and (r := _GO_RESULT.match(self.flat, at)):
+                if r.group() == "(":
+                    at = self._pair(at)
+                elif r.group() != "{":
+                    at = r.end()
+                elif re.search(r"\b(?:interface|struct)\s*\Z", self.flat[max(0, at - 60):at]):
+                    at = self._pair(at)
+                else:
+                    if at in self.match:
+                        out.append(_Head(m.start(), m.start("n"), at, "function", m.group("n"), m.group("r")))
+                    break
+        return out
+
+    def _pair(self, at: int) -> int | None:
+        """Behind the bracket that closes the one at a position, whatever the kinds of those between."""
+        if self.pairs is None:
+            self.pairs, stack = {}, []
+            for k in self.marks:
+                if self.flat[k] in "({":
+                    stack.append(k)
+                elif self.flat[k] in ")}" and stack:
+                    self.pairs[stack.pop()] = k + 1
+        return self.pairs.get(at)
+
+
+def _innermost(stack: list, at: int):
+    """Drops what ends before a position from a stack of (opened, closed, ...) and returns the last that holds it."""
+    while stack and stack[-1][1] < at:
+        stack.pop()
+    return next((x for x in reversed(stack) if x[0] < at), None)
+
+
+def _braces(lang: str, text: str) -> tuple[list[Definition], list[Call]]:
+    source = _Text(lang, text)
+    heads = source.heads()
+    found, functions, seen, classes = [], [], set(), []
+    for h in heads:
+        closed = source.match[h.opened]
+        around = _innermost(classes, h.start)
+        type_, parent = h.kind, None
+        if h.kind == "class":
+            classes.append((h.opened, closed, h.name))
+        elif h.kind == "member":
+            if not around or lang == "javascript" and not any(c[0] < h.start and source.depth(h.start) - source.depth(c[0]) == 1 for c in reversed(classes)):
                 continue
-            type_ = "constructor" if lang == "java" and name == inside else "method"
-            parent = inside
-        elif kind == "function":
-            if lang == "javascript":
-                type_, parent = ("method", inside) if inside else ("function", None)
-                name = name or f"anonymous_{line(start)}"
-            elif lang == "go" and m.group("r"):
-                type_, parent = "method", re.sub(r"[\[\]].*$", "", m.group("r").strip("() ").split()[-1].lstrip("*"))
-            elif lang == "c" and flat.count("{", 0, start) != flat.count("}", 0, start):
+            type_, parent = "constructor" if lang == "java" and h.name == around[2] else "method", around[2]
+        elif h.kind == "function":
+            if lang == "javascript" and around:
+                type_, parent = "method", around[2]
+            elif lang == "go" and h.receiver:
+                type_, parent = "method", re.sub(r"[\[\]].*$", "", (h.receiver.strip("() ").split() or [""])[-1].lstrip("*"))
+            elif lang == "c" and source.depth(h.start) > 0:
                 continue
-        if (opened, type_ in ("class", "struct", "interface")) in seen:
+        name, is_type = h.name or f"anonymous_{source.line(h.start)}", type_ in ("class", "struct", "interface")
+        if (h.opened, is_type) in seen:
+            continue
+        seen.add((h.opened, is_type))
+        found.append(Definition(name, type_, source.line(h.start), source.line(closed), parent))
+        if not is_type:
+            functions.append((h.opened, closed, name))
+    functions.sort(key=lambda f: f[0])
+    calls, named, holders, k = [], {h.named for h in heads}, [], 0
+    for m in _CALL.finditer(source.flat):
+        while k < len(functions) and functions[k][0] < m.start():
+            _innermost(holders, functions[k][0])
+            holders.append(functions[k])
+            k += 1
+        if not m.group(3) or m.group(1):
             continue
-        seen.add((opened, type_ in ("class", "struct", "interface")))
-        found.append(Definition(name, type_, line(start), line(closed), parent))
-        if type_ not in ("class", "struct", "interface"):
-            functions.append((opened, closed, name))
-    calls, head_spans = [], {(h[5].start("n"), h[4]) for h in heads}
-    for m in _CALL.finditer(flat):
         callee = re.sub(r"\s+", "", m.group(2)).replace("->", ".")
-        if m.group(1) or callee in _NOT_NAMES[lang] or (m.start(2), callee) in head_spans:
+        if callee in _NOT_NAMES[lang] or m.start(2) in named:
             continue
-        around = [f for f in functions if f[0] < m.start() < f[1]]
-        if around:
-            calls.append(Call(max(around)[2], callee, line(m.start(2))))
+        if holder := _innermost(holders, m.start()):
+            calls.append(Call(holder[2], callee, source.line(m.start(2))))
     return found, calls
 
 

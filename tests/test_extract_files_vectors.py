@@ -83,6 +83,38 @@ def test_search_ties_nulls_and_lengths(spark, rows):
     assert vectors.search(table.limit(0), asked, 3).count() == 0 and vectors.search(table, asked.limit(0), 3).count() == 0
 
 
+LARGE = {
+    "a.c": "static int f{n}(int a, struct s *b) {{\n    if (a > 0) {{ return g(a, h(b)); }}\n    return f{n}(a - 1, b);\n}}\n",
+    "a.go": "func f{n}(a int, b interface{{}}) error {{\n\tif a > 0 {{ return g(a, h(b)) }}\n\treturn f{n}(a - 1, b)\n}}\n",
+    "a.js": "function f{n}(a, b) {{\n    if (a > 0) {{ return g(a, h(b)); }}\n    return f{n}(a - 1, b);\n}}\n",
+}
+
+
+@pytest.mark.parametrize("path", LARGE)
+def test_large_files_take_time_in_proportion(path):
+    import time
+
+    def seconds(n):
+        text = "".join(LARGE[path].format(n=k) for k in range(n)).encode()
+        began = time.process_time()
+        found, calls = extract(path, text)
+        took = time.process_time() - began
+        assert [d.name for d in found] == [f"f{k}" for k in range(n)] and len(calls) == 3 * n and {c.caller for c in calls} == {d.name for d in found}
+        return took
+
+    assert seconds(16_000) < 60 * max(0.02, seconds(1000))  # 1.7 MB
+
+
+@pytest.mark.parametrize("path", ("a.c", "a.java", "a.js", "a.go"))
+@pytest.mark.parametrize("junk", (b"int ", b"( ", b"a . ", b"/* ", b"{ ", b"x = {", b"static ", b"class A ", b"func (a ", b"func f(", b"List<a> ", b"class A { m() {"))
+def test_odd_text_takes_no_longer(path, junk):
+    import time
+
+    began = time.process_time()
+    extract(path, junk * 20_000 + b"f() {}\n")
+    assert time.process_time() - began < 5
+
+
 def test_upsert_delete_and_totals(spark, rows):
     table = spark.createDataFrame([("a", "f1", "12345678"), ("b", "f2", None), ("a", "f1", "12345678")], "id string, file_path string, document string")
     one = vectors.keep_last_vector(table)

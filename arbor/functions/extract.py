@@ -12,6 +12,7 @@ import ast
 import bisect
 import keyword
 import re
+from functools import partial
 from typing import NamedTuple
 
 from .languages import LANGUAGES
@@ -435,14 +436,27 @@ def _braces(lang: str, text: str) -> tuple[list[Definition], list[Call]]:
     return found, calls
 
 
+#: The parser of each language: text in, definitions and calls out. Others may be added.
+PARSERS = {"python": _python, **{lang: partial(_braces, lang) for lang in ("c", "java", "javascript", "go")}}
+_PROBES = {"python": "def f(x):\n    return x\n", "c": "int f(int x) {\n  return x;\n}\n", "java": "class f {\n}\n", "javascript": "function f(x) {\n  return x;\n}\n", "go": "func f(x int) int {\n\treturn x\n}\n"}
+
+
+def probed(lang: str) -> bool:
+    """Whether the language has a parser that finds the one definition of a small text."""
+    try:
+        return [d.name for d in PARSERS[lang](_PROBES[lang])[0]] == ["f"]
+    except Exception:  # whatever a missing or broken parser raises
+        return False
+
+
 def extract(path: str, content: bytes | None) -> tuple[list[Definition], list[Call]]:
     """What a file defines and calls, in order; nothing for unknown languages and other than UTF-8 text."""
     lang = language_of(path)
-    if not lang or content is None:
+    if lang not in PARSERS or content is None:
         return [], []
     try:
         text = content.decode("utf-8-sig").replace("\r\n", "\n").replace("\r", "\n")
-        found, calls = _python(text) if lang == "python" else _braces(lang, text)
+        found, calls = PARSERS[lang](text)
     except (UnicodeDecodeError, SyntaxError, ValueError, RecursionError):
         return [], []
     last = {(d.name, d.type, d.start): d for d in found}

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.extract import extract
+from ..functions.extract import PARSERS, extract, probed
 from ..functions.languages import LANGUAGES, language
 
 _SCHEMA = "file_path string, kind string, name string, type string, start_line int, end_line int, parent_class string, caller string, callee string, ordinal int"
@@ -50,5 +50,12 @@ def calls_of(rows: DataFrame) -> DataFrame:
 
 
 def availability(spark) -> DataFrame:
-    """``(language, available)``."""
-    return spark.createDataFrame([(lang, 1) for lang in sorted(set(LANGUAGES.values()))], "language string, available int")
+    """``(language, available)``: 1 if the language's parser, in a worker, reads a small probe as it should. Of the
+    languages that are asked for, TypeScript has no parser of its own; its files are read as JavaScript."""
+    def probe(batches):
+        for b in batches:
+            names = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int(probed(x)) for x in names], pa.int32())], names=["language", "available"])
+
+    asked = spark.createDataFrame([(x,) for x in sorted({*PARSERS, *LANGUAGES.values(), "typescript"})], "language string")
+    return asked.mapInArrow(probe, "language string, available int")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import languages
 from ..operators import context, entities, files, graph, merkle, parse, skew, snapshots, vectors
 from ..sources.tables import table
-from ..storage import scratch_path
+from ..storage import materialize, scratch_path
 from . import pipeline
 
 CALL_KEYS = ("callee", "file_path")
@@ -103,6 +103,46 @@ def _entity_context(s, d):
     return rows.withColumns({c: F.to_json(c) for c in ("calls", "called_by")})
 
 
+# One source per part: extension, text with {k} for the key, and what it defines (name, type, start, end, parent) and calls (caller, callee, line).
+MADE = {
+    "c": ("c", "#include <a.h>\n\nstruct s{k} {\n  int x;\n};\n\nint h{k}(int x) {\n  return x;\n}\n\nint m{k}(int x) {\n  return h{k}(x);\n}\n",
+          (("s{k}", "struct", 3, 5, None), ("h{k}", "function", 7, 9, None), ("m{k}", "function", 11, 13, None)), ("m{k}", "h{k}", 12)),
+    "go": ("go", "package p\n\ntype s{k} struct {\n\tx int\n}\n\nfunc h{k}(x int) int {\n\treturn x\n}\n\nfunc (r *s{k}) m{k}(x int) int {\n\treturn h{k}(x)\n}\n",
+           (("s{k}", "struct", 3, 5, None), ("h{k}", "function", 7, 9, None), ("m{k}", "method", 11, 13, "s{k}")), ("m{k}", "h{k}", 12)),
+    "java": ("java", "package p;\n\nclass C{k} {\n  C{k}(int x) {\n    h{k}(x);\n  }\n\n  int h{k}(int x) {\n    return x;\n  }\n}\n",
+             (("C{k}", "class", 3, 11, None), ("C{k}", "constructor", 4, 6, "C{k}"), ("h{k}", "method", 8, 10, "C{k}")), ("C{k}", "h{k}", 5)),
+    "javascript": ("js", "class C{k} {\n  m{k}(a) {\n    return h{k}(a);\n  }\n}\n\nfunction h{k}(x) {\n  return x;\n}\n",
+                   (("C{k}", "class", 1, 5, None), ("m{k}", "method", 2, 4, "C{k}"), ("h{k}", "function", 7, 9, None)), ("m{k}", "h{k}", 3)),
+    "python": ("py", "class C{k}:\n    def m{k}(self):\n        return h{k}(1)\n\n\ndef h{k}(x):\n    return x\n",
+               (("C{k}", "class", 1, 3, None), ("m{k}", "method", 2, 3, "C{k}"), ("h{k}", "function", 6, 7, None)), ("m{k}", "h{k}", 3)),
+}
+
+
+def made_files(part, languages_=tuple(MADE)):
+    """``(path, content, hash)``: a source in every language for each part."""
+    kinds = F.array(*[F.struct(F.lit(MADE[x][0]).alias("ext"), F.lit(MADE[x][1]).alias("text")) for x in languages_])
+    rows = part.select(F.col("p_partkey").cast("string").alias("k"), F.explode(kinds).alias("m")).select(F.concat(F.lit("made/f"), "k", F.lit("."), "m.ext").alias("path"), F.replace("m.text", F.lit("{k}"), F.col("k")).alias("text"))
+    return rows.select("path", F.encode("text", "UTF-8").alias("content"), F.sha2("text", 256).alias("hash"))
+
+
+def _parsed_made(language):
+    return lambda s, d: parse.entities_of(parse.parsed(made_files(table(s, d, "part"), (language,)))).select("file_path", "name", "type", "start_line", "end_line", "parent_class")
+
+
+def _made_edges(s, d):
+    """From contents to edges: both row kinds of one parse, then resolution."""
+    rows = materialize(parse.parsed(made_files(table(s, d, "part"))), "made-parsed")
+    return graph.build_edges(parse.calls_of(rows), parse.entities_of(rows))
+
+
+def _made_increment(s, d):
+    """Entities of the files that differ from an older snapshot, which lacks every fifth part and has another hash for every third."""
+    files_ = made_files(table(s, d, "part"))
+    key = F.regexp_extract("path", r"f(\d+)\.", 1).cast("long")
+    old = files_.where(key % 5 != 0).select("path", F.when(key % 3 == 0, F.lit("other")).otherwise(F.col("hash")).alias("hash"))
+    return pipeline.changed_entities(files_, pipeline.changes(old, files_)).select("file_path", "name", "type", "start_line", "end_line", "parent_class")
+
+
 def _incremental(s, d):
     nodes = table(s, d, "nodes")
     last = nodes.agg(F.max("snapshot_id").alias("last"))
@@ -166,6 +206,10 @@ QUERIES = {
     "file_tree_depth3": lambda s, d: context.file_tree(table(s, d, "files"), 5, 3),
     "parse_entities": lambda s, d: parse.entities_of(parse.parsed(table(s, d, "files"))),
     "extract_calls": lambda s, d: parse.calls_of(parse.parsed(table(s, d, "files"))),
+    **{f"parse_{x}": _parsed_made(x) for x in MADE},
+    "extract_calls_made": lambda s, d: parse.calls_of(parse.parsed(made_files(table(s, d, "part")))).select("file_path", "caller", "callee", "line_number"),
+    "parsed_edges": _made_edges,
+    "incremental_made": _made_increment,
     "language_stats": lambda s, d: parse.availability(s),
     "incremental_index": _incremental,
     "p1_found": lambda s, d: skew.heavy_keys(table(s, d, "calls"), CALL_KEYS, "seq").select("field", "key_value"),
@@ -365,5 +409,24 @@ ORACLES |= {
         (select count(*) from (select component from comp group by component having count(*) > 1))::bigint as cycles from ent""",
     "file_tree_top5": _TREE.format(depth=2, parent=_PARENT),
     "file_tree_depth3": _TREE.format(depth=3, parent=_PARENT),
-    "language_stats": "select unnest(['c', 'go', 'java', 'javascript', 'python']) as language, 1 as available",
+    "language_stats": "select unnest(['c', 'go', 'java', 'javascript', 'python', 'typescript']) as language, unnest([1, 1, 1, 1, 1, 0]) as available",
+}
+
+
+def _filled(text) -> str:
+    """SQL for a text with {k}."""
+    return "null::varchar" if text is None else "'" + text.replace("{k}", "' || p_partkey || '") + "'"
+
+
+def _made_entities(language: str, where: str = "true") -> str:
+    ext, _, defined, _ = MADE[language]
+    rows = [f"select 'made/f' || p_partkey || '.{ext}' as file_path, {_filled(name)} as name, '{kind}' as type, {a} as start_line, {b} as end_line, {_filled(parent)} as parent_class from part where {where}" for name, kind, a, b, parent in defined]
+    return " union all ".join(rows)
+
+
+_MADE_CALLS = [(f"'made/f' || p_partkey || '.{ext}'", _filled(caller), _filled(callee), line) for ext, _, _, (caller, callee, line) in MADE.values()]
+ORACLES |= {f"parse_{x}": _made_entities(x) for x in MADE} | {
+    "incremental_made": " union all ".join(_made_entities(x, "p_partkey % 5 = 0 or p_partkey % 3 = 0") for x in MADE),
+    "extract_calls_made": " union all ".join(f"select {path} as file_path, {a} as caller, {b} as callee, {line} as line_number from part" for path, a, b, line in _MADE_CALLS),
+    "parsed_edges": " union all ".join(f"select {path} || '::' || {a} as src, {path} || '::' || {b} as dst, {line} as line from part" for path, a, b, line in _MADE_CALLS),
 }

@@ -10,6 +10,7 @@ from . import chunking, glyphs, handwritten, leaks, neighbours, parsing, tokeniz
 QUERIES = {
     "p2_found": lambda s, d: handwritten.scored(table(s, d, "files")).where("flagged").select("path"),
     "p2_validation": lambda s, d: handwritten.validation(table(s, d, "files")),
+    "p2_planted": lambda s, d: handwritten.planted(table(s, d, "files")),
     "p3_found": lambda s, d: parsing.invalid_files(table(s, d, "files")),
     "p3_report": lambda s, d: parsing.parse_report(table(s, d, "files")),
     "p3_rates": lambda s, d: parsing.rates(table(s, d, "files")),

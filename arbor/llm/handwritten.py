@@ -34,8 +34,9 @@ EPOCHS, C, SEED = 12, 1.0, 7
 #: the next round, those between UNSURE and 0 are left out of it.
 ROUNDS, UNSURE = 4, -0.6
 HOLDOUT = 5  # every fifth repository validates
-#: A file is flagged above this score; a giveaway is worth GIVEAWAY.
-THRESHOLD, GIVEAWAY = 0.0, 1.0
+#: A file is flagged above this score. It is below 0, as the files that nothing gives away count as hand-written when
+#: the classifier is fitted, though some are not.
+THRESHOLD = -0.2
 #: A body of so many lines of which so much is in lines of literals gives a file of data away.
 DATA_LINES, DATA_SHARE = 4, 0.7
 
@@ -250,37 +251,93 @@ def train(files: DataFrame, marked: DataFrame) -> np.ndarray:
     return fit_rounds([found[p] for p in paths], np.array([known[p][0] for p in paths], bool))
 
 
-def scored(files: DataFrame) -> DataFrame:
-    """``(path, repo, given, repos, score, flagged)``: one row per path of a source file.
+def _scores(w: np.ndarray, texts) -> list[float]:
+    out = []
+    for path, parts, lines in texts:
+        s, v = features(path, parts, lines)
+        out.append(float((w[s] * v).sum() + w[-1]))
+    return out
 
-    A null content counts as empty, so only its path can give such a file away; rows
-    that come twice count once, of different contents for one path the highest score.
-    Paths without a language have no row. Without any giveaway in the table nothing can be learned and
-    nothing is flagged.
-    """
+
+def _fitted(files: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(marks of all files, weights)."""
     marked = materialize(marks(files), "file-marks-repos")
-    w = train(files, marked)
+    return marked, train(files, marked)
+
+
+def _scored(files: DataFrame, marked: DataFrame, w: np.ndarray) -> DataFrame:
     shared = files.sparkSession.sparkContext.broadcast(w.astype(np.float32))
 
     def run(batches):
         for b in batches:
-            w, scores = shared.value, []
-            for path, parts, lines in _read(b):
-                s, v = features(path, parts, lines)
-                scores.append(float((w[s] * v).sum() + w[-1]))
-            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(scores, pa.float64())], names=["path", "part"])
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(_scores(shared.value, _read(b)), pa.float64())], names=["path", "part"])
 
     parts = _sources(files).select("path", "content").mapInArrow(run, "path string, part double").groupBy("path").agg(F.max("part").alias("part"))
     bins = F.when(F.col("repos") >= COPIES[1], float(w[slot(copy_name(COPIES[1]))])).when(F.col("repos") >= COPIES[0], float(w[slot(copy_name(COPIES[0]))])).otherwise(float(w[slot(copy_name(1))]))
-    score = F.col("part") + bins + F.when(F.col("given"), F.lit(GIVEAWAY)).otherwise(F.lit(0.0))
+    score = F.col("part") + bins
     learned = F.lit(bool(np.any(w)))
     return marked.join(parts, "path").select("path", "repo", "given", "repos", score.alias("score"), (learned & (score > THRESHOLD)).alias("flagged"))
 
 
+def scored(files: DataFrame) -> DataFrame:
+    """``(path, repo, given, repos, score, flagged)``: one row per path of a source file, by the classifier alone: what gave
+    examples away is masked in every file, and adds nothing to its score.
+
+    A null content counts as empty, so only its path can tell of such a file; rows
+    that come twice count once, of different contents for one path the highest score.
+    Paths without a language have no row. Without any giveaway in the table nothing can be learned and
+    nothing is flagged.
+    """
+    return _scored(files, *_fitted(files))
+
+
 def validation(files: DataFrame) -> DataFrame:
     """Agreement with the giveaways in the repositories that were not trained on, from the
     masked features alone: one row of counts."""
-    rows = scored(files).where(_held_out(F.col("repo"))).withColumn("hit", F.col("score") - F.when(F.col("given"), F.lit(GIVEAWAY)).otherwise(F.lit(0.0)) > THRESHOLD)
+    rows = scored(files).where(_held_out(F.col("repo")))
     return rows.agg(
-        F.count("*").alias("files"), F.count_if("given").alias("given"), F.count_if("hit").alias("found"), F.count_if(F.col("given") & F.col("hit")).alias("given_found"),
+        F.count("*").alias("files"), F.count_if("given").alias("given"), F.count_if("flagged").alias("found"), F.count_if(F.col("given") & F.col("flagged")).alias("given_found"),
     )
+
+
+def minified(text: str) -> str:
+    """Without comments, on one line, without blanks that nothing needs."""
+    return re.sub(r"\s*([^\w\s])\s*", r"\1", re.sub(r"\s+", " ", _COMMENT.sub("", text))).strip()
+
+
+def tabulated(text: str) -> str:
+    """The text's words as a table of numbers."""
+    numbers = [str(_slot(x)) for x in _WORD.findall(text)]
+    return "values = [\n" + "".join("    " + ", ".join(numbers[n:n + 10]) + ",\n" for n in range(0, len(numbers), 10)) + "]\n"
+
+
+#: Files that are planted, by what they are made of: 'hand-written' is the file as it is.
+PLANTS = {"hand-written": lambda text: text, "minified": minified, "data": tabulated}
+
+
+def planted(files: DataFrame) -> DataFrame:
+    """``(kind, files, flagged)``: the hand-written files (not flagged) of at least DATA_LINES lines in the repositories that were
+    not trained on, as they are under another name and changed into each kind, nothing of which gives them away. Shares of
+    'flagged' are the recall for planted kinds and the rate of false alarms for 'hand-written'. Minified are files of languages that need no line ends."""
+    marked, w = _fitted(files)
+    hand = _scored(files, marked, w).where(~F.col("flagged") & _held_out(F.col("repo"))).select("path")
+    shared = files.sparkSession.sparkContext.broadcast(w.astype(np.float32))
+    alone = float(w[slot(copy_name(1))])
+
+    def run(batches):
+        for b in batches:
+            kinds, scores = [], []
+            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                text = decode(content or b"").replace("\r\n", "\n")
+                if len(body_lines(split_text(path, text).body)) < DATA_LINES:
+                    continue
+                *above, name = path.rpartition("/")
+                for kind, change in PLANTS.items():
+                    if kind != "minified" or language(path) in ("javascript", "java"):
+                        parts = split_text("".join(above) + "x_" + name, change(text))
+                        kinds.append(kind)
+                        scores.append(_scores(shared.value, [("".join(above) + "x_" + name, parts, body_lines(parts.body))])[0] + alone)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(scores, pa.float64())], names=["kind", "score"])
+
+    rows = _sources(files).join(hand, "path", "left_semi").select("path", "content").dropDuplicates(["path"]).mapInArrow(run, "kind string, score double")
+    return rows.groupBy("kind").agg(F.count("*").alias("files"), F.count_if(F.col("score") > THRESHOLD).alias("flagged"))

@@ -54,6 +54,22 @@ def test_finds_what_nothing_gives_away(spark):
     assert v.given_found >= 0.8 * v.given and v.files > 0
 
 
+def test_a_notice_adds_nothing_to_the_score():
+    body = "def f(x):\n    return x\n"
+    with_, without = (H.split_text("r/a.py", head + body) for head in ("# Code generated by gen. DO NOT EDIT.\n", ""))
+    assert with_.made and not without.made
+    for a, b in zip(H.features("r/a.py", with_, H.body_lines(with_.body)), H.features("r/a.py", without, H.body_lines(without.body))):
+        assert a.tolist() == b.tolist()
+
+
+def test_planted_files(spark):
+    rows, _ = _table()
+    got = {r.kind: r for r in H.planted(spark.createDataFrame(rows, "path string, repo string, content binary")).collect()}
+    assert set(got) == {"hand-written", "data"} and got["hand-written"].files == got["data"].files > 50
+    assert got["hand-written"].flagged <= 0.05 * got["hand-written"].files
+    assert H.minified("int a = 1; // one\nf( a );\n") == "int a=1;f(a);" and H.tabulated("a b").startswith("values = [\n    ")
+
+
 def test_odd_tables(spark):
     schema = "path string, repo string, content binary, given string"
     odd = spark.createDataFrame([("a/b.py", "a", None, "x"), (None, "a", b"x", "x"), ("a/c.py", None, b"", "x"), ("a/c.py", None, b"", "x"), ("x.md", "a", b"zz", "x"), ("a/big.js", "a", b"a=1;" * 100_000, "x")], schema)

@@ -12,6 +12,8 @@ from __future__ import annotations
 import re
 
 MEMO = 200_000
+#: Tokens of the longest shape that is remembered.
+LONGEST = 300
 
 
 class Bad(Exception):
@@ -83,6 +85,7 @@ class Parser:
         cls.heads: dict[object, dict[str, str]] = {}
         c = cls.LEX.code
         cls.ends = re.compile("[;{}%s]" % c["EOF"])
+        cls.brackets = re.compile("[%s%s]" % (c["("], c[")"]))
         cls.plain_items = re.compile("(?:-?[%s%s],)+" % (c["NUM"], c["STR"]))
 
     def __init__(self, shape: str):
@@ -91,6 +94,7 @@ class Parser:
         names = self.LEX.names
         self.t = [names[x] for x in self.k]
         self.p, self.ctx = 0, ""
+        self.pairs: dict[int, int] | None = None
         self.errors: list[tuple[int, str]] = []
 
     # tokens
@@ -113,6 +117,25 @@ class Parser:
             raise Bad(self.p, "unterminated text or unknown character")
         raise Bad(self.p, f"{why}, found '{now}'")
 
+    def closing(self, at: int) -> int:
+        """Where the bracket '(' at a position is closed; -1 if it isn't. Near ones are looked for, far ones noted in one pass."""
+        t, p, depth = self.t, at, 1
+        while depth and p < at + 64:
+            p += 1
+            if t[p] == "EOF":
+                return -1
+            depth += (t[p] == "(") - (t[p] == ")")
+        if not depth:
+            return p
+        if self.pairs is None:
+            self.pairs, stack = {}, []
+            for m in self.brackets.finditer(self.k):
+                if m.group() == "(":
+                    stack.append(m.start())
+                elif stack:
+                    self.pairs[stack.pop()] = m.start()
+        return self.pairs.get(at, -1)
+
     def attempt(self, f) -> bool:
         """Runs ``f``; on a failure goes back and says no."""
         at = self.p
@@ -175,12 +198,15 @@ class Parser:
     def remembered(self) -> bool:
         """Passes a statement, or the head of one and then its body, whose shape is known."""
         i, k = self.p, self.k
-        j = self.ends.search(k, i).start()
+        j = self.ends.search(k, i, i + LONGEST)
+        if j is None:
+            return False
+        j = j.start()
         key = k[i:j + 1]
         if k[j] == ";" and self.t[j + 1] != "else" and key in self.done.setdefault(self.ctx, set()):
             self.p = j + 1
             return True
-        if self.t[i] == "for" and (j := k.find("{", i)) > 0:
+        if self.t[i] == "for" and (j := k.find("{", i, i + LONGEST)) > 0:
             key = k[i:j + 1]
         kind = self.heads.setdefault(self.ctx, {}).get(key)
         if kind:
@@ -191,8 +217,10 @@ class Parser:
 
     def note(self, i: int) -> None:
         """The statement from i up to here was valid; kept if it has no braces."""
+        if self.p - i >= LONGEST:
+            return
         key = self.k[i:self.p]
-        if key[-1:] == ";" and len(key) < 300 and "{" not in key and "}" not in key and key.find(";") == len(key) - 1:
+        if key[-1:] == ";" and "{" not in key and "}" not in key and key.find(";") == len(key) - 1:
             known = self.done.setdefault(self.ctx, set())
             if len(known) > MEMO:
                 known.clear()
@@ -200,8 +228,10 @@ class Parser:
 
     def head(self, i: int, kind: str) -> None:
         """At '{': the tokens from i up to here lead in a body of this kind."""
+        if self.p - i >= LONGEST:
+            return
         key = self.k[i:self.p + 1]
-        if len(key) < 300 and key.find("{") == len(key) - 1 and "}" not in key:
+        if key.find("{") == len(key) - 1 and "}" not in key:
             known = self.heads.setdefault(self.ctx, {})
             if len(known) > MEMO:
                 known.clear()

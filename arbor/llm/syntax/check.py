@@ -14,8 +14,9 @@ from .pylang import PyParser
 # The language of each extension.
 EXTENSIONS = {"py": "python", "js": "javascript", "ts": "javascript", "jsx": "javascript", "tsx": "javascript", "java": "java", "c": "c", "h": "c", "go": "go"}
 _BRACES = {"javascript": JsParser, "java": JavaParser, "go": GoParser}
-#: Nesting beyond this is reported as an error of its own kind.
-DEPTH = 20_000
+#: Python frames that a parse may nest; calls between Python functions take no C stack. Nesting beyond it (some
+#: 100,000 brackets within each other) is reported as an error of its own kind.
+DEPTH = 1_000_000
 
 
 def language(path: str | None) -> str | None:

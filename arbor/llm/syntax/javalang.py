@@ -157,13 +157,8 @@ class JavaParser(Parser):
             return t[p + 1] == "->"
         if t[p] != "(":
             return False
-        depth = 1
-        while depth:
-            p += 1
-            if t[p] in ("EOF", ";", "{"):
-                return False
-            depth += (t[p] == "(") - (t[p] == ")")
-        return t[p + 1] == "->"
+        p = self.closing(p)
+        return p >= 0 and t[p + 1] == "->"
 
     def lambda_(self) -> None:
         if not self.eat("("):

@@ -6,7 +6,7 @@ import re
 from bisect import bisect_right
 from itertools import accumulate
 
-from .base import Lexer, Parser
+from .base import LONGEST, Lexer, Parser
 
 _NO_REGEX_AFTER = frozenset(("ID", "NUM", "STR", "CHR", "TPL", "}`", ")", "]", "}", "this", "super", "null", "true", "false", "++", "--"))
 _WORDS = frozenset("var let const function class if else for while do switch case default break continue return throw try catch finally new delete typeof void in instanceof this super null true false import export extends debugger with enum yield await async static get set of".split())
@@ -89,9 +89,12 @@ class JsParser(Parser):
 
     # line ends are no part of a shape, so what has some inside is never remembered or passed by memory
     def remembered(self) -> bool:
-        end = self.ends.search(self.k, self.p).start()
+        end = self.ends.search(self.k, self.p, self.p + LONGEST)
+        if end is None:
+            return False
+        end = end.start()
         if self.k[self.p] == self.LEX.code["for"]:
-            end = max(end, self.k.find("{", self.p))
+            end = max(end, self.k.find("{", self.p, self.p + LONGEST))
         return not self.line_break(self.p, end) and super().remembered()
 
     def note(self, i: int) -> None:
@@ -159,13 +162,8 @@ class JsParser(Parser):
             return t[p + 1] == "=>"
         if t[p] != "(":
             return False
-        depth = 1
-        while depth:
-            p += 1
-            if t[p] == "EOF":
-                return False
-            depth += (t[p] == "(") - (t[p] == ")")
-        return t[p + 1] == "=>"
+        p = self.closing(p)
+        return p >= 0 and t[p + 1] == "=>"
 
     def arrow(self) -> None:
         ctx = "f"

@@ -56,7 +56,7 @@ def test_finds_what_nothing_gives_away(spark):
 
 def test_a_notice_adds_nothing_to_the_score():
     body = "def f(x):\n    return x\n"
-    with_, without = (H.split_text("r/a.py", head + body) for head in ("# Code generated by gen. DO NOT EDIT.\n", ""))
+    with_, without = (H.split_text("r/a.py", head + body) for head in ("# Code generated by gen. DO NOT EDIT.\n", "\n"))
     assert with_.made and not without.made
     for a, b in zip(H.features("r/a.py", with_, H.body_lines(with_.body)), H.features("r/a.py", without, H.body_lines(without.body))):
         assert a.tolist() == b.tolist()

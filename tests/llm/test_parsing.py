@@ -117,3 +117,13 @@ def test_memory_of_shapes_knows_line_ends():
     for valid, invalid in (("throw ee;", "throw\nee;"), ("xx++;", "xx\n++;"), ("if (aa) bb\nelse cc;", "if (aa) bb else cc;")):
         for text in (valid, invalid, valid, invalid):
             assert bool(syntax_errors("javascript", text)) == (text == invalid), text
+
+
+def test_deep_nesting_is_valid():
+    n = 20_000
+    for lang, text in (
+        ("javascript", f"x = {'(' * n}1{')' * n};\n"), ("c", f"int x = {'(' * n}1{')' * n};\n"), ("java", f"class A {{ int x = {'(' * n}1{')' * n}; }}\n"),
+        ("go", f"package p\n\nvar x = {'(' * n}1{')' * n}\n"), ("javascript", "{" * n + "}" * n), ("javascript", "if (a) " * n + "b();\n"),
+    ):
+        assert syntax_errors(lang, text) == [], (lang, text[:20])
+        assert syntax_errors(lang, text[:-3])

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rows import side_by_side
-from ..storage import materialize
+from ..storage import materialize, materialize_counted
 from .entities import keep_last
 
 #: Defaults of impact depth and path length in edges.
 IMPACT_DEPTH, PATH_EDGES = 3, 10
+#: Joins between two written tables where a spread over the graph is repeated until it settles.
+HOPS = 2
 
 
 def _last_per_site(calls: DataFrame) -> DataFrame:
@@ -150,59 +152,73 @@ def call_chains(edges: DataFrame, pairs: DataFrame, most: int = PATH_EDGES) -> D
     return done.select("start", "goal", F.array_join("path", " -> ").alias("chain"))
 
 
-def _trimmed(edges: DataFrame) -> DataFrame:
-    """Edges whose source has a way in and whose target has a way out."""
-    into, out = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
-    return edges.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst")
+def _settled(start: DataFrame, step, label: str) -> DataFrame:
+    """Repeats a step on a frame whose rows only get fewer until their number stays. HOPS steps make one written
+    table; a step names its frame once, so plans stay in proportion to the steps."""
+    now, size = start, -1
+    while size:
+        for _ in range(HOPS):
+            now = step(now)
+        before, (now, counts) = size, materialize_counted(now, label, F.count(F.lit(1)).alias("rows"))
+        size = counts["rows"]
+        if size == before:
+            break
+    return now
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(id, component)``: strongly connected components, named by their smallest id; nodes on no cycle are alone.
 
-    Nodes without a way in or out are cut off first, again and again; what is left is coloured: every
-    node takes the smallest id that reaches it, and a colour's root collects backwards, within the
-    colour, its component. Both spread by one join a round and end when nothing changes.
+    Nodes are kept that paths of any length lead to, and from. Each takes the smallest id that reaches it and the
+    smallest that it reaches. Where both are one, that id's component is found, whole. Members of a component agree in both,
+    so of the other edges only those between nodes that agree are looked at again. Both directions spread in
+    one frame, HOPS joins per written table, until nothing changes.
     """
     rest = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "scc-edges")
     found = None
-    while True:
-        before = rest.count()
-        while before:
-            rest = materialize(_trimmed(_trimmed(rest)), "scc-edges")  # two rounds per table that is written
-            after = rest.count()
-            if after == before:
-                break
-            before = after
-        if not before:
+    while not rest.isEmpty():
+        two = _both_ways(rest)
+        live = _settled(two.select("way", F.col("b").alias("id")).distinct(), lambda x, e=two: e.join(x.withColumnRenamed("id", "a"), ["way", "a"], "left_semi").select("way", F.col("b").alias("id")).distinct(), "scc-live")
+        both = live.groupBy("id").agg(F.count("*").alias("ways")).where("ways = 2").select("id")
+        rest = rest.join(both.withColumnRenamed("id", "src"), "src", "left_semi").join(both.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
+        rest = materialize(rest, "scc-edges")
+        if rest.isEmpty():
             break
-        colour = materialize(rest.select(F.col("src").alias("id")).union(rest.select("dst")).distinct().withColumn("c", F.col("id")), "scc-colour")
-        while True:  # smallest id that reaches a node
-            moved = rest.join(colour, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "c")
-            fresh = materialize(colour.union(moved).groupBy("id").agg(F.min("c").alias("c")), "scc-colour")
-            changed = not fresh.join(colour, ["id", "c"], "left_anti").isEmpty()
-            colour = fresh
-            if not changed:
-                break
-        inner = rest.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd").select("src", "dst", "cs")
-        inner = materialize(inner, "scc-inner")
-        reach = materialize(colour.where("id = c").select("id", "c"), "scc-reach")
-        front = reach
-        while True:  # backwards from the root, within the colour
-            near = inner.join(front, (F.col("dst") == F.col("id")) & (F.col("cs") == F.col("c"))).select(F.col("src").alias("id"), "c").distinct()
-            front = materialize(near.join(reach, ["id", "c"], "left_anti"), "scc-front")
-            if front.isEmpty():
-                break
-            reach = materialize(reach.union(front), "scc-reach")
-        found = reach if found is None else found.union(reach)
-        gone = reach.select(F.col("id").alias("g"))
-        rest = materialize(rest.join(gone, F.col("src") == F.col("g"), "left_anti").join(gone, F.col("dst") == F.col("g"), "left_anti"), "scc-edges")
+        met = _met(rest)
+        ends = met.groupBy("id").agg(*[F.max(F.when(F.col("way") == way, F.col("c"))).alias(name) for way, name in ((0, "by"), (1, "to"))])
+        ends = materialize(ends, "scc-ends")
+        whole = ends.where("by = to").select("id", F.col("by").alias("component"))
+        found = whole if found is None else found.union(whole)
+        open_ = ends.where("by <> to")
+        rest = rest.join(open_.select(F.col("id").alias("src"), "by", "to"), "src").join(open_.withColumnRenamed("id", "dst"), ["dst", "by", "to"]).select("src", "dst")
+        rest = materialize(rest, "scc-edges")
     alone = nodes.select("id").distinct()
     if found is None:
         return alone.select("id", F.col("id").alias("component"))
-    named = found.join(found.groupBy("c").agg(F.min("id").alias("component")), "c").select(F.col("id").alias("fid"), "component")
+    named = found.withColumnRenamed("id", "fid")
     return alone.join(named, F.col("id") == F.col("fid"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """``(way, a, b)``: every edge along (0) and against (1) its direction."""
+    return edges.select(F.lit(0).alias("way"), F.col("src").alias("a"), F.col("dst").alias("b")).unionAll(edges.select(F.lit(1).alias("way"), F.col("dst").alias("a"), F.col("src").alias("b")))
+
+
+def _met(edges: DataFrame) -> DataFrame:
+    """``(way, id, c)``: the smallest id that reaches a node (way 0) and that it reaches (way 1), itself included."""
+    two = _both_ways(edges)
+    ends = two.select("way", F.col("a").alias("id")).unionAll(two.select("way", F.col("b").alias("id"))).distinct()
+    loops = materialize(two.unionAll(ends.select("way", F.col("id").alias("a"), F.col("id").alias("b"))), "scc-loops")
+    now = materialize(ends.select("way", "id", F.col("id").alias("c")), "scc-met")
+    while True:
+        for _ in range(HOPS):  # a node's edge to itself brings what it had before
+            moved = loops.join(now.select("way", F.col("id").alias("a"), "c"), ["way", "a"])
+            now = moved.groupBy("way", F.col("b").alias("id")).agg(F.min("c").alias("c"), F.max(F.when(F.col("a") == F.col("b"), F.col("c"))).alias("was"))
+        now, counts = materialize_counted(now, "scc-met", F.count_if(F.col("c") != F.col("was")).alias("moved"))
+        if not counts["moved"]:  # the last of the joins moved nothing
+            return now.select("way", "id", "c")
+
+
 def statistics(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """One row: entities, calls, files, average calls per entity (0 if there are none), cycles of more than one node."""
     own = keep_last(entities)

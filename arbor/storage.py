@@ -11,7 +11,7 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -41,6 +41,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, label: str, *counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """The same, with named aggregates of the rows that were written, taken in the same job."""
+    seen = Observation(f"arbor-{uuid.uuid4().hex}")
+    path = scratch_path(df.sparkSession, label)
+    df.observe(seen, *counts).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
+
+
 def _at(spark: SparkSession, path: str):
     """(Hadoop's file system of a path, the path)."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

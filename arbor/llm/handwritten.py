@@ -41,8 +41,8 @@ THRESHOLD = -0.2
 DATA_LINES, DATA_SHARE = 4, 0.7
 
 # Names that package managers and generators use.
-_FOREIGN_DIRS = frozenset("vendor vendored third_party third-party thirdparty node_modules bower_components external deps".split())
-_MADE_DIRS = frozenset("generated __generated__ gen-src gen_src autogen dist".split())
+_FOREIGN_DIRS = frozenset(("vendor", "vendored", "third_party", "third-party", "thirdparty", "node_modules", "bower_components", "external", "deps"))
+_MADE_DIRS = frozenset(("generated", "__generated__", "gen-src", "gen_src", "autogen", "dist"))
 _MADE_NAME = re.compile(r"(?:\.|-|_)(?:min|bundle|chunk|generated|pb|g)\.[a-z]+$|_pb2(?:_grpc)?\.py$|\.pb\.\w+$|^zz_generated", re.I)
 _MADE_NOTICE = re.compile(r"@generated|(?:auto-?|machine[- ])generated|generated (?:by|from|code|file)|do(?:es)? not (?:edit|modify)|produced by", re.I)
 _FOREIGN_NOTICE = re.compile(r"upstream|copied from|released under|\b(?:MIT|BSD|Apache|ISC)\b|contributors|\bv?\d+\.\d+(?:\.\d+)+\b|^/\*!", re.I)

@@ -16,33 +16,36 @@ LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "jav
 SCANNED = ("py", "js", "ts", "java", "c", "h", "go")
 # Extensions of tracked code files, without case.
 TRACKED_EXTENSIONS = (
-    "java kt kts groovy scala c h cpp hpp cc hh cxx hxx tpp txx go ts tsx js jsx mjs cjs py pyi pyx pxd pxi rs rb php swift m mm "
-    "cs fs fsx vb r dart lua pl pm t pod jl ex exs erl hrl elm clj cljc cljs edn"
-).split()
+    "java", "kt", "kts", "groovy", "scala", "c", "h", "cpp", "hpp", "cc", "hh", "cxx", "hxx", "tpp", "txx", "go", "ts", "tsx", "js", "jsx", "mjs",
+    "cjs", "py", "pyi", "pyx", "pxd", "pxi", "rs", "rb", "php", "swift", "m", "mm", "cs", "fs", "fsx", "vb", "r", "dart", "lua", "pl", "pm", "t",
+    "pod", "jl", "ex", "exs", "erl", "hrl", "elm", "clj", "cljc", "cljs", "edn",
+)
 # Tracked names without a tracked extension.
 IMPORTANT_NAMES = (
-    "Dockerfile Makefile CMakeLists.txt .gitignore .dockerignore BUILD WORKSPACE *.bzl pom.xml build.gradle settings.gradle Cargo.toml "
-    "go.mod go.sum requirements.txt setup.py setup.cfg pyproject.toml tox.ini .flake8 .eslintrc* .prettierrc* .babelrc* webpack.config.js "
-    "rollup.config.js tsconfig.json jsconfig.json"
-).split()
+    "Dockerfile", "Makefile", "CMakeLists.txt", ".gitignore", ".dockerignore", "BUILD", "WORKSPACE", "*.bzl", "pom.xml", "build.gradle",
+    "settings.gradle", "Cargo.toml", "go.mod", "go.sum", "requirements.txt", "setup.py", "setup.cfg", "pyproject.toml", "tox.ini", ".flake8",
+    ".eslintrc*", ".prettierrc*", ".babelrc*", "webpack.config.js", "rollup.config.js", "tsconfig.json", "jsconfig.json",
+)
 # Directories that are not entered.
 IGNORED_DIRECTORIES = (
-    ".git .github __pycache__ node_modules .pytest_cache venv env .venv dist build target bin obj out .gradle .mvn .idea .vscode .vs .history "
-    ".next .nuxt .output .cache vendor third_party third-party .bundle eggs .eggs lib lib64 parts sdist var wheels *.egg-info "
-    ".installed.cfg *.egg .mypy_cache .pyre .pytype bower_components jspm_packages .npm .yarn .settings .classpath .project .factorypath "
-    ".recommenders .sts4-cache pkg pkg-mod mod CMakeFiles cmake-build-* Debug Release x64 x86 logs tmp temp coverage .nyc_output "
-    "__snapshots__ .serverless .terraform .env .env.*"
-).split()
+    ".git", ".github", "__pycache__", "node_modules", ".pytest_cache", "venv", "env", ".venv", "dist", "build", "target", "bin", "obj", "out",
+    ".gradle", ".mvn", ".idea", ".vscode", ".vs", ".history", ".next", ".nuxt", ".output", ".cache", "vendor", "third_party", "third-party",
+    ".bundle", "eggs", ".eggs", "lib", "lib64", "parts", "sdist", "var", "wheels", "*.egg-info", ".installed.cfg", "*.egg", ".mypy_cache", ".pyre",
+    ".pytype", "bower_components", "jspm_packages", ".npm", ".yarn", ".settings", ".classpath", ".project", ".factorypath", ".recommenders",
+    ".sts4-cache", "pkg", "pkg-mod", "mod", "CMakeFiles", "cmake-build-*", "Debug", "Release", "x64", "x86", "logs", "tmp", "temp", "coverage",
+    ".nyc_output", "__snapshots__", ".serverless", ".terraform", ".env", ".env.*",
+)
 # Files that are ignored by name.
 IGNORED_FILES = (
-    "package-lock.json yarn.lock pnpm-lock.yaml poetry.lock Cargo.lock composer.lock Gemfile.lock go.sum Pipfile.lock "
-    "*.min.js *.bundle.js *.chunk.js *.map *.d.ts.map *.js.map *.min.css *.generated.* *.pb.go *.pb.cc *.pb.h *.grpc.pb.* *.thrift.* "
-    "*.iml *.iws *.ipr .classpath .project .settings/* *.sublime-* *.sqlite *.db *.sql *.csv *.parquet *.avro *.orc *.feather *.pickle *.pkl "
-    "*.png *.jpg *.jpeg *.gif *.ico *.svg *.mp4 *.mp3 *.webm *.wav *.ogg *.woff *.woff2 *.ttf *.eot *.zip *.tar *.gz *.bz2 *.7z *.rar *.jar "
-    "*.war *.ear *.nar *.dmg *.pkg *.deb *.rpm *.nupkg *.whl *.egg *.exe *.dll *.so *.dylib *.o *.obj *.class *.pyo *.pyd *.pyc *.wasm "
-    "*.wasm-decompile *.wasm.map *.md *.txt *.rst LICENSE* COPYING* README* CHANGELOG* CONTRIBUTING* CODE_OF_CONDUCT* SECURITY* MAINTAINERS* "
-    "AUTHORS* .DS_Store Thumbs.db desktop.ini"
-).split()
+    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "Cargo.lock", "composer.lock", "Gemfile.lock", "go.sum", "Pipfile.lock",
+    "*.min.js", "*.bundle.js", "*.chunk.js", "*.map", "*.d.ts.map", "*.js.map", "*.min.css", "*.generated.*", "*.pb.go", "*.pb.cc", "*.pb.h",
+    "*.grpc.pb.*", "*.thrift.*", "*.iml", "*.iws", "*.ipr", ".classpath", ".project", ".settings/*", "*.sublime-*", "*.sqlite", "*.db", "*.sql",
+    "*.csv", "*.parquet", "*.avro", "*.orc", "*.feather", "*.pickle", "*.pkl", "*.png", "*.jpg", "*.jpeg", "*.gif", "*.ico", "*.svg", "*.mp4",
+    "*.mp3", "*.webm", "*.wav", "*.ogg", "*.woff", "*.woff2", "*.ttf", "*.eot", "*.zip", "*.tar", "*.gz", "*.bz2", "*.7z", "*.rar", "*.jar", "*.war",
+    "*.ear", "*.nar", "*.dmg", "*.pkg", "*.deb", "*.rpm", "*.nupkg", "*.whl", "*.egg", "*.exe", "*.dll", "*.so", "*.dylib", "*.o", "*.obj", "*.class",
+    "*.pyo", "*.pyd", "*.pyc", "*.wasm", "*.wasm-decompile", "*.wasm.map", "*.md", "*.txt", "*.rst", "LICENSE*", "COPYING*", "README*", "CHANGELOG*",
+    "CONTRIBUTING*", "CODE_OF_CONDUCT*", "SECURITY*", "MAINTAINERS*", "AUTHORS*", ".DS_Store", "Thumbs.db", "desktop.ini",
+)
 # Directories that indexing skips.
 SKIPPED_DIRECTORIES = ("__pycache__", "node_modules", ".git", "venv", "env")
 

@@ -21,7 +21,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", v
     ``queries`` has (query_id, vector[, group]); with ``group_col`` only rows of the query's group
     compete. Queries are taken in blocks of about BLOCK; one block at a time is on the driver and
     shipped to a scan, and a task keeps k rows per query, so k rows per query and task are
-    shuffled. Null vectors and vectors of another length than the query's have no distance.
+    shuffled. Several blocks are searched one after the other when this is called. Null vectors and vectors of another length than the query's have no distance.
     """
     spark = vectors.sparkSession
     asked = queries.where("vector is not null").select("query_id", "vector", *(["group"] if group_col else []))
@@ -38,27 +38,33 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", v
         shared = spark.sparkContext.broadcast(packed)
 
         def scan(batches, shared=shared):
-            best: dict = {}
+            best: dict = {}  # query -> its nearest rows so far, sorted
             for b in batches:
                 ids, lists = b.column(0).to_pylist(), b.column(1)
                 sizes = np.array([-1 if v is None else v for v in pa.compute.list_value_length(lists).to_pylist()])
+                known = np.array([i is not None for i in ids], bool)
                 groups = np.array(b.column(2).to_pylist(), object) if group_col else None
                 for q, names, wanted in shared.value:
-                    at = np.flatnonzero(sizes == q.shape[1])
+                    at = np.flatnonzero((sizes == q.shape[1]) & known)
                     if not len(at):
                         continue
                     x = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1)
-                    # differences, not the expanded square: equal vectors get 0 exactly
-                    for n, v in enumerate(q):
-                        d = ((x - v) ** 2).sum(axis=1)
-                        if wanted is not None:
-                            d = np.where(groups[at] == wanted[n], d, np.inf)
-                        few = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-                        mine = best.setdefault(names[n], [])
-                        mine += [(float(d[i]), ids[at[i]]) for i in few if np.isfinite(d[i]) and ids[at[i]] is not None]
-                        if len(mine) > 4 * k:
-                            best[names[n]] = sorted(mine)[:k]
-            rows = [(name, i, d) for name, mine in best.items() for d, i in sorted(mine)[:k]]
+                    # a matrix product shows which rows may be near; its rounding is allowed for
+                    squares = (q ** 2).sum(axis=1)[:, None] + (x ** 2).sum(axis=1)[None, :]
+                    rough, slack = squares - 2 * (q @ x.T), 1e-9 * squares
+                    rough[~np.isfinite(rough)] = np.inf
+                    if wanted is not None:
+                        rough[np.array([groups[at] == w for w in wanted]) == 0] = np.inf
+                    edge = np.array([best[n][-1][0] if len(best.get(n, ())) == k else np.inf for n in names])
+                    if rough.shape[1] > k:
+                        edge = np.minimum(edge, np.partition(rough + slack, k - 1, axis=1)[:, k - 1])
+                    near = (rough - slack <= edge[:, None]) & np.isfinite(rough)
+                    for n in np.flatnonzero(near.any(axis=1)).tolist():
+                        few = np.flatnonzero(near[n])
+                        # differences, not the expanded square: equal vectors get 0 exactly
+                        d = ((x[few] - q[n]) ** 2).sum(axis=1)
+                        best[names[n]] = sorted(best.get(names[n], []) + [(float(v), ids[at[i]]) for v, i in zip(d, few) if np.isfinite(v)])[:k]
+            rows = [(name, i, d) for name, mine in best.items() for d, i in mine]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], types[0]), pa.array([r[1] for r in rows], types[1]), pa.array([r[2] for r in rows], pa.float64())], names=["query_id", "id", "distance"])
 
         qkind = queries.schema["query_id"].dataType.simpleString()
@@ -66,6 +72,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", v
         types = (arrow[qkind], arrow[kind])
         picked = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), *([F.col(group_col).alias("grp")] if group_col else []))
         part = picked.mapInArrow(scan, f"query_id {qkind}, id {kind}, distance double")
+        if blocks > 1:  # the next block takes this one's place on the driver
+            part = materialize(part, "search-block")
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {kind}, distance double")

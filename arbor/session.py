@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
 
-from .storage import scratch_path
+from .storage import shared_dir
 
-#: Rows a Python worker gets at once; texts may be long, so a batch stays small.
-ARROW_ROWS = 256
+#: Rows and bytes a Python worker gets at once; texts may be long, so a batch stays small.
+ARROW_ROWS, ARROW_BYTES = 256, 64 << 20
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -29,7 +30,7 @@ def ship_package(spark: SparkSession) -> None:
                     if name.endswith(".py"):
                         full = os.path.join(folder, name)
                         z.write(full, os.path.relpath(full, os.path.dirname(home)))
-        jvm, shared = context._jvm, scratch_path(spark, "package") + ".zip"
+        jvm, shared = context._jvm, f"{shared_dir(spark)}/arbor/{context.applicationId}/package-{uuid.uuid4().hex}.zip"
         target = jvm.org.apache.hadoop.fs.Path(shared)
         target.getFileSystem(context._jsc.hadoopConfiguration()).copyFromLocalFile(jvm.org.apache.hadoop.fs.Path("file://" + made), target)
     finally:
@@ -42,6 +43,7 @@ def tuned(spark: SparkSession) -> SparkSession:
     ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     return spark

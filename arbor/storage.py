@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -28,9 +29,25 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_WITHIN: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the application's own part of the shared folder."""
-    return f"{shared_dir(spark)}/arbor/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    within = "".join(f"/{x}" for x in _WITHIN)
+    return f"{shared_dir(spark)}/arbor/{spark.sparkContext.applicationId}{within}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Intermediate tables that are made within are deleted at the end; write results before."""
+    _WITHIN.append(f"scope-{uuid.uuid4().hex}")
+    path = f"{shared_dir(spark)}/arbor/{spark.sparkContext.applicationId}/" + "/".join(_WITHIN)
+    try:
+        yield
+    finally:
+        _WITHIN.pop()
+        drop_path(spark, path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

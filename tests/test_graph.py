@@ -76,3 +76,18 @@ def test_empty(spark, rows):
     none = spark.createDataFrame([], "src string, dst string, line int")
     assert rows(graph.impact(none)) == [] and graph.degrees(none).count() == 0
     assert rows(graph.components(none, spark.createDataFrame([("a",)], "id string"))) == [("a", "a")]
+
+
+def test_scratch_is_released(spark):
+    import os
+
+    from arbor.storage import materialize, materialize_counted, scratch, shared_dir
+    from pyspark.sql import functions as F
+
+    root = shared_dir(spark).removeprefix("file://") + f"/arbor/{spark.sparkContext.applicationId}"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    with scratch(spark):
+        assert materialize(spark.range(3), "x").count() == 3
+        table, counts = materialize_counted(spark.range(5), "y", F.count(F.lit(1)).alias("rows"))
+        assert table.count() == counts["rows"] == 5 and len(os.listdir(root)) == len(before) + 1
+    assert set(os.listdir(root)) == before

@@ -89,7 +89,7 @@ def tracked(path: Column) -> Column:
     parts = F.split(path, "/")
     directories = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     ignored = F.exists(directories, lambda p: p.rlike(IGNORED_DIRECTORY_RE)) | file_name(path).rlike(IGNORED_NAME_RE) | path.rlike(IGNORED_PATH_RE)
-    return ~ignored & (F.lower(extension(path)).isin(TRACKED_EXTENSIONS) | file_name(path).rlike(IMPORTANT_RE))
+    return ~ignored & (F.lower(extension(path)).isin(list(TRACKED_EXTENSIONS)) | file_name(path).rlike(IMPORTANT_RE))
 
 
 def skipped(path: Column) -> Column:

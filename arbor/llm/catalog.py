@@ -4,9 +4,20 @@ from __future__ import annotations
 
 import unicodedata
 
+from pyspark.sql import functions as F
+
+from ..plans import catalog as core
 from ..sources.tables import table
 from . import chunking, glyphs, handwritten, leaks, neighbours, parsing, tokenize, visual
 
+
+def _made_report(s, d):
+    """Sources made from parts, and broken in each way: which of them parse."""
+    files = core.made_files(table(s, d, "part"))
+    rows = parsing.broken(files).withColumn("repo", F.lit("made"))
+    return parsing.parse_report(rows).select("path", "accepted")
+
+
 QUERIES = {
     "p2_found": lambda s, d: handwritten.scored(table(s, d, "files")).where("flagged").select("path"),
     "p2_validation": lambda s, d: handwritten.validation(table(s, d, "files")),
@@ -14,12 +25,15 @@ QUERIES = {
     "p3_found": lambda s, d: parsing.invalid_files(table(s, d, "files")),
     "p3_report": lambda s, d: parsing.parse_report(table(s, d, "files")),
     "p3_rates": lambda s, d: parsing.rates(table(s, d, "files")),
+    "p3_made": _made_report,
     "p4_found": lambda s, d: chunking.oversized_ids(table(s, d, "file_vectors"), table(s, d, "entities"), table(s, d, "files")),
     "p4_pieces": lambda s, d: chunking.oversized_pieces(table(s, d, "file_vectors"), table(s, d, "entities"), table(s, d, "files")),
+    "p4_round_trip": lambda s, d: chunking.round_trip(table(s, d, "file_vectors"), table(s, d, "entities"), table(s, d, "files")),
     "p5_found": lambda s, d: neighbours.similar_pairs(table(s, d, "entity_vectors")),
     "p5_nearest": lambda s, d: neighbours.nearest(table(s, d, "entity_vectors")),
     "p5_recall": lambda s, d: neighbours.recall(table(s, d, "entity_vectors")).select("k", "queries", "reached"),
     "p7_ids": lambda s, d: tokenize.token_ids(table(s, d, "documents")),
+    "p7_round_trip": lambda s, d: tokenize.decoded(tokenize.token_ids(table(s, d, "documents"))).select("doc_id", "text_md5"),
     "p8_found": lambda s, d: leaks.leaks(table(s, d, "documents"), table(s, d, "eval_items")),
     "p8_report": lambda s, d: leaks.leak_report(table(s, d, "documents"), table(s, d, "eval_items")),
     "p9_found": lambda s, d: visual.visual_pairs(table(s, d, "documents")),
@@ -70,4 +84,12 @@ select distinct doc_id, item_id from d join i using (run)""",
     "p9_classes": f"""
 with {_FORMS}, c as (select form, min(doc_id) as class_id, count(distinct text)::bigint as n_spellings from f group by form having count(distinct text) > 1)
 select doc_id, class_id, n_spellings from f join c using (form)""",
+    "p3_made": " union all ".join(f"select '{way}/made/f' || p_partkey || '.{ext}{('.py.js' if ext == 'py' else '.x.py') if way == 'extension' else ''}' as path, {str(way == 'whole').lower()} as accepted from part"
+                                  for way in parsing.BROKEN for ext, *_ in core.MADE.values()),
+    "p4_round_trip": """
+with f as (select path, max(string_split(decode(content), chr(10))) as lines from files where content is not null group by path),
+t as (select 'file' as item_kind, id as item_id, document as text from file_vectors where id is not null union all
+  select 'entity', id, array_to_string(lines[greatest(start_line, 1):end_line], chr(10)) from entities join f on path = file_path where id is not null and start_line <= end_line)
+select distinct item_kind, item_id, length(text)::bigint as n_chars, md5(text) as text_md5, true as fits, true as overlaps from t where length(text) > 3000""",
+    "p7_round_trip": "select doc_id, md5(coalesce(text, '')) as text_md5 from documents",
 }

@@ -8,6 +8,7 @@ piece starts with the last ``overlap`` characters of the piece before.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -66,21 +67,21 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP, minimum: int =
 
 
 def split_items(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """``(item_kind, item_id, source, piece, n_pieces, start, text)`` for items ``(item_kind, item_id, source, text)``
-    longer than ``limit`` characters; shorter, empty and null ones have no row."""
+    """``(item_kind, item_id, source, piece, n_pieces, start, text, text_id)`` for items ``(item_kind, item_id, source, text)``
+    longer than ``limit`` characters; shorter, empty and null ones have no row. ``text_id`` tells several texts of one id apart."""
     def run(batches):
         for b in batches:
-            out = [[] for _ in range(7)]
+            out = [[] for _ in range(8)]
             for kind, item, source, text in zip(*(c.to_pylist() for c in b.columns)):
-                spans = pieces(text, limit, overlap)
+                spans, digest = pieces(text, limit, overlap), hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
                 for n, (s, e) in enumerate(spans):
-                    for column, x in zip(out, (kind, item, source, n, len(spans), s, text[s:e])):
+                    for column, x in zip(out, (kind, item, source, n, len(spans), s, text[s:e], digest)):
                         column.append(x)
-            types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["item_kind", "item_id", "source", "piece", "n_pieces", "start", "text"])
+            types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["item_kind", "item_id", "source", "piece", "n_pieces", "start", "text", "text_id"])
 
     rows = items.select("item_kind", "item_id", "source", "text").where(f"length(text) > {int(limit)}")
-    return rows.mapInArrow(run, "item_kind string, item_id string, source string, piece int, n_pieces int, start int, text string")
+    return rows.mapInArrow(run, "item_kind string, item_id string, source string, piece int, n_pieces int, start int, text string, text_id string")
 
 
 def _decoded(content: bytes) -> str:
@@ -140,3 +141,24 @@ def oversized_pieces(file_vectors: DataFrame, entities: DataFrame, files: DataFr
 def oversized_ids(file_vectors: DataFrame, entities: DataFrame, files: DataFrame) -> DataFrame:
     """``(item_kind, item_id)``, distinct: what had to be cut."""
     return oversized_pieces(file_vectors, entities, files).where("n_pieces > 1").select("item_kind", "item_id").distinct()
+
+
+def round_trip(file_vectors: DataFrame, entities: DataFrame, files: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """``(item_kind, item_id, n_chars, text_md5, fits, overlaps)``, distinct: each oversized item put together again from its pieces, whether
+    they keep the limit, and whether each starts with the end of the one before."""
+    def join(batches):
+        for b in batches:
+            out = [[] for _ in range(6)]
+            for kind, item, pieces in zip(*(c.to_pylist() for c in b.columns)):
+                texts = [p["text"] for p in sorted(pieces, key=lambda p: p["piece"])]
+                whole = texts[0] + "".join(t[overlap:] for t in texts[1:])
+                shared = all(a[-overlap:] == t[:overlap] for a, t in zip(texts, texts[1:]))
+                for column, x in zip(out, (kind, item, len(whole), hashlib.md5(whole.encode("utf-8", "surrogatepass")).hexdigest(), max(map(len, texts)) <= limit, shared)):
+                    column.append(x)
+            types = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["item_kind", "item_id", "n_chars", "text_md5", "fits", "overlaps"])
+
+    rows = oversized_pieces(file_vectors, entities, files, limit, overlap)
+    # the pieces of one item, which is one row of the input
+    items = rows.groupBy("item_kind", "item_id", "source", "text_id").agg(F.collect_list(F.struct("piece", "text")).alias("pieces")).select("item_kind", "item_id", "pieces")
+    return items.mapInArrow(join, "item_kind string, item_id string, n_chars long, text_md5 string, fits boolean, overlaps boolean").distinct()

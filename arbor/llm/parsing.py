@@ -48,3 +48,17 @@ def rates(files: DataFrame) -> DataFrame:
     """``(repo, lang, files, invalid, rate)``: a path that comes twice counts once, and as invalid if one of its rows is."""
     per_path = parse_report(files, positions=False).groupBy("path").agg(F.max("repo").alias("repo"), F.max("lang").alias("lang"), F.min("accepted").alias("accepted"))
     return per_path.groupBy("repo", "lang").agg(F.count("*").alias("files"), F.count_if(~F.col("accepted")).alias("invalid")).withColumn("rate", F.round(F.col("invalid") / F.col("files"), 6))
+
+
+#: Ways in which a valid file is changed: kept, cut off before its last bracket, left with the mark of a merge, given another language's extension.
+BROKEN = ("whole", "cut", "merge", "extension")
+
+
+def broken(files: DataFrame) -> DataFrame:
+    """``(path, content)`` of files ``(path, content)`` of UTF-8 text in each way of BROKEN; the way leads the path."""
+    text = F.col("content").cast("string")
+    other = F.when(F.col("path").endswith(".py"), "py.js").otherwise("x.py")
+    ways = {"whole": (F.col("path"), text), "cut": (F.col("path"), F.regexp_replace(text, r"[)}][^)}]*$", "")),
+            "merge": (F.col("path"), F.concat(F.lit("<<<<<<< ours\n"), text)), "extension": (F.concat("path", F.lit("."), other), text)}
+    made = F.array(*[F.struct(F.concat(F.lit(way + "/"), path).alias("path"), F.encode(content, "UTF-8").alias("content")) for way, (path, content) in ways.items()])
+    return files.select(F.explode(made).alias("m")).select("m.path", "m.content")

@@ -183,3 +183,16 @@ def token_ids(docs: DataFrame, tokenizer_dir: str = DEFAULT_DIR, id_col: str = "
     coded = spread.mapInArrow(encode_leaf, "row string, doc_id long, leaf int, sizes array<int>, ids array<int>")
     grouped = coded.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("leaf", "sizes", "ids")).alias("parts")).select("doc_id", "parts")
     return short.unionByName(grouped.mapInArrow(join_leaves, _SCHEMA))
+
+
+def decoded(ids: DataFrame, tokenizer_dir: str = DEFAULT_DIR) -> DataFrame:
+    """``(doc_id, n_tokens, text_md5)``: a digest of the text that a list of ids stands for."""
+    import hashlib
+
+    def run(batches):
+        enc = encoder(tokenizer_dir)
+        for b in batches:
+            lists = b.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in lists], pa.int32()), pa.array([hashlib.md5(enc.decode_bytes(x)).hexdigest() for x in lists], pa.string())], names=["doc_id", "n_tokens", "text_md5"])
+
+    return ids.mapInArrow(run, "doc_id long, n_tokens int, text_md5 string")

@@ -50,5 +50,6 @@ def test_entities_and_files(spark, rows):
     assert rows(C.oversized_ids(vectors, entities, files)) == [("entity", "latin"), ("entity", "long"), ("entity", "tail"), ("entity", "zero"), ("file", "f1")]
     pieces = C.oversized_pieces(vectors, entities, files).where("item_id = 'long'").orderBy("piece").collect()
     assert "".join([pieces[0].text] + [p.text[C.OVERLAP:] for p in pieces[1:]]) == "\n".join([line] * 31)
+    assert {(r.item_id, r.n_chars, r.fits, r.overlaps) for r in C.round_trip(vectors, entities, files).collect()} == {("latin", 3001, True, True), ("long", 3099, True, True), ("tail", 4099, True, True), ("zero", 3099, True, True), ("f1", 3001, True, True)}
     none = C.oversized_ids(vectors.limit(0), entities.limit(0), files.limit(0))
     assert rows(none) == []

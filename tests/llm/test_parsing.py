@@ -127,3 +127,11 @@ def test_deep_nesting_is_valid():
     ):
         assert syntax_errors(lang, text) == [], (lang, text[:20])
         assert syntax_errors(lang, text[:-3])
+
+
+def test_broken_files_are_found(spark):
+    from arbor.llm.parsing import BROKEN, broken
+
+    files = spark.createDataFrame([("a.py", b"def f(x):\n    return x\n"), ("a.c", b"int f(int x) {\n  return x;\n}\n")], "path string, content binary")
+    got = {r.path: r.accepted for r in parse_report(broken(files).selectExpr("path", "content", "'r' as repo")).collect()}
+    assert len(got) == 2 * len(BROKEN) and {p for p, ok in got.items() if ok} == {"whole/a.py", "whole/a.c"}
